@@ -1,7 +1,7 @@
 """The opN_ queries: each operator over its whole table with production parameters, and the SQL they are held against."""
 from __future__ import annotations
 
-from provena.llm import exact_dedup, mixing, sharding, url_filter
+from provena.llm import bpe, exact_dedup, mixing, mpeg_ts, sharding, url_filter
 from provena.llm.common import documents
 
 
@@ -13,6 +13,10 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).drop("first_shard")
 
 
+def op4_mpeg_ts(spark, sf_dir):
+    return mpeg_ts.digests(mpeg_ts.read_media(mpeg_ts.write_media(documents(spark, sf_dir))))
+
+
 def op8_url_filter(spark, sf_dir):
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.rule_table(spark))
 
@@ -21,5 +25,9 @@ def op9_sharding(spark, sf_dir):
     return sharding.balanced_shards(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op8_url_filter, op9_sharding)}
+def op10_bpe(spark, sf_dir):
+    return bpe.encode_documents(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op4_mpeg_ts, op8_url_filter, op9_sharding, op10_bpe)}
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_mixing": mixing.oracle(), "op8_url_filter": url_filter.ORACLE}
