@@ -1,8 +1,8 @@
 """The opN_ queries: each operator over its whole table with production parameters, and the SQL they are held against."""
 from __future__ import annotations
 
-from provena.llm import bpe, exact_dedup, mixing, mpeg_ts, sharding, url_filter
-from provena.llm.common import documents
+from provena.llm import bpe, exact_dedup, mixing, mpeg_ts, pii, quality, sharding, toxicity, url_filter
+from provena.llm.common import documents, durable, labels
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -17,6 +17,19 @@ def op4_mpeg_ts(spark, sf_dir):
     return mpeg_ts.digests(mpeg_ts.read_media(mpeg_ts.write_media(documents(spark, sf_dir))))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op6_quality(spark, sf_dir):
+    return quality.score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op7_pii(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return pii.find_pii(docs, durable(pii.revealing_terms(docs), "pii-terms")).drop("sanitised")
+
+
 def op8_url_filter(spark, sf_dir):
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.rule_table(spark))
 
@@ -29,5 +42,5 @@ def op10_bpe(spark, sf_dir):
     return bpe.encode_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op4_mpeg_ts, op8_url_filter, op9_sharding, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op4_mpeg_ts, op5_toxicity, op6_quality, op7_pii, op8_url_filter, op9_sharding, op10_bpe)}
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_mixing": mixing.oracle(), "op8_url_filter": url_filter.ORACLE}
