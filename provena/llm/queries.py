@@ -1,7 +1,7 @@
 """The opN_ queries: each operator over its whole table with production parameters, and the SQL they are held against."""
 from __future__ import annotations
 
-from provena.llm import bpe, exact_dedup, mixing, mpeg_ts, pii, quality, sharding, toxicity, url_filter
+from provena.llm import bpe, exact_dedup, mixing, mpeg_ts, near_dedup, pii, quality, sharding, toxicity, url_filter
 from provena.llm.common import documents, durable, labels
 
 
@@ -13,6 +13,10 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).drop("first_shard")
 
 
+def op3_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_mpeg_ts(spark, sf_dir):
     return mpeg_ts.digests(mpeg_ts.read_media(mpeg_ts.write_media(documents(spark, sf_dir))))
 
@@ -42,5 +46,5 @@ def op10_bpe(spark, sf_dir):
     return bpe.encode_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op4_mpeg_ts, op5_toxicity, op6_quality, op7_pii, op8_url_filter, op9_sharding, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_near_dedup, op4_mpeg_ts, op5_toxicity, op6_quality, op7_pii, op8_url_filter, op9_sharding, op10_bpe)}
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_mixing": mixing.oracle(), "op8_url_filter": url_filter.ORACLE}

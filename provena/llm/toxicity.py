@@ -139,6 +139,25 @@ def is_held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
+def _scorer(docs: DataFrame, labels: DataFrame, per_label: int):
+    sample = labelled_sample(docs, labels, "toxic", is_held_out, per_label)
+    raw = fit_in_one_task(sample, lambda t, y, p: _pack(fit(t, y, p)))
+    model = docs.sparkSession.sparkContext.broadcast(raw)  # at most 8 MB
+    return lambda: _unpack(model.value).score
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, per_label: int = MAX_PER_LABEL, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all columns, that score_toxicity doesn't predict to be toxic; filtered in the scan, without a join."""
+    make = _scorer(docs, labels, per_label)
+
+    def run(batches):
+        score = make()
+        for b in batches:
+            yield b.filter(pa.array([score(t or "") < threshold for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = MAX_PER_LABEL, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted. docs: doc_id, text; labels: doc_id, toxic.
 
@@ -147,12 +166,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = MAX_PER_
     id the largest counts. Without labels of both kinds every text scores the share of toxic ones (0.5 without any).
     Repeated rows each get their score; an empty table gives no rows; other columns are ignored.
     """
-    sample = labelled_sample(docs, labels, "toxic", is_held_out, per_label)
-    raw = fit_in_one_task(sample, lambda t, y, p: _pack(fit(t, y, p)))
-    model = docs.sparkSession.sparkContext.broadcast(raw)  # at most 8 MB
-
-    def make():
-        m = _unpack(model.value)
-        return m.score
-
-    return score_texts(docs, make, is_held_out, threshold)
+    return score_texts(docs, _scorer(docs, labels, per_label), is_held_out, threshold)
