@@ -175,17 +175,33 @@ def verify(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label of the nodes of edges (a, b): label is the smallest node that is connected. Rounds of joins with pointer jumping."""
-    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    at = durable(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"), "near-labels")
+    """node, label of the nodes of edges (a, b): label is the smallest node that is connected.
+
+    Every node points to its smallest neighbour if that is smaller than itself; pointers are followed to their
+    ends by joins of the node table with itself, then edges are contracted to labels and those within one label dropped. Repeats until
+    no edge is left. Only the first contraction joins all edges.
+    """
+    left = durable(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-edges")
+    total = None
     while True:
-        near = both.join(at.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("least"))
-        new = at.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
-        jump = at.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = durable(new.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label")), "near-labels")
-        at = new.select("node", "label")
-        if new.where("label != old").isEmpty():
-            return at
+        ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        at = durable(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_b")).select("node", F.least("node", "_b").alias("label")), "near-pointers")
+        while True:
+            further = at.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            jumped = durable(at.join(if_small(further)[0], "label", "left").select("node", "label", F.coalesce("further", "label").alias("further")), "near-pointers")
+            at = jumped.select("node", F.col("further").alias("label"))
+            if jumped.where("further != label").isEmpty():
+                break
+        if total is None:
+            total = at
+        else:
+            total = total.join(if_small(at.select(F.col("node").alias("label"), F.col("label").alias("further")))[0], "label", "left")
+            total = durable(total.select("node", F.coalesce("further", "label").alias("label")), "near-labels")
+        small, _ = if_small(at)
+        left = left.join(small.select(F.col("node").alias("a"), F.col("label").alias("a2")), "a").join(small.select(F.col("node").alias("b"), F.col("label").alias("b2")), "b")
+        left = durable(left.where("a2 != b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "near-edges")
+        if left.isEmpty():
+            return total
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
