@@ -8,7 +8,9 @@ from provena.llm.common import durable, if_small, running_total
 #: A propagation round moves documents only while their new shard holds at most this share of the mean load.
 CAPACITY = 1.0
 #: Propagation ends when nothing moves, at the latest after this many rounds (each round only lowers the cut).
-ROUNDS = 6
+ROUNDS = 8
+#: A shard with less room than this share of the mean load counts as full.
+SLACK = 0.02
 BUCKETS = 1024
 
 
@@ -42,18 +44,23 @@ def propagate(linked: DataFrame, shards: int, mean: float, rounds: int = ROUNDS,
     """Label propagation on the graph of documents and the hubs that link them; linked has node, hub, size, bucket.
 
     A hub stands for all links among its documents, so that a group of n has n links and not n * n. Each round a hub
-    sums its documents' bytes by shard; a document whose shard is not among the heaviest of its hub wants the heaviest shard that
-    has room. Wishes are granted in the order of hubs while the shard's quota lasts. Moves that don't fit wait
-    for the next round, where full shards are passed over, so a group larger than a shard is cut into few pieces.
+    sums its documents' bytes by shard; all want the heaviest shard that has room for the whole hub. Where none has,
+    those outside the heavier shards want the heaviest that has any room, so a group larger than a shard is cut into
+    few pieces. Wishes are granted in the order of hubs while the shard's quota lasts; the others wait for the next round.
     """
     rows = durable(linked.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")), "shard-start")
     for _ in range(rounds):
         loads = _loads(rows, shards)
-        room = [max(0, int(capacity * mean) - x) for x in loads]
+        room = [x if x >= SLACK * mean else 0 for x in (int(capacity * mean) - y for y in loads)]
         votes = rows.groupBy("hub", "shard").agg(F.sum("size").alias("bytes"))
         spare = _lookup(room, F.col("shard"))
-        best = votes.groupBy("hub").agg(F.max(F.when(spare > 0, F.struct("bytes", (-F.col("shard")).alias("at")))).alias("best"))
-        wish = votes.join(best, "hub").where("best is not null and -best.at != shard and bytes <= best.bytes").select("hub", "shard", (-F.col("best.at")).cast("int").alias("to"))
+        whole = votes.groupBy("hub").agg(F.sum("bytes").alias("all"))
+        votes = votes.join(whole, "hub")
+        place = F.struct("bytes", (-F.col("shard")).alias("at"))
+        best = votes.groupBy("hub").agg(F.max(F.when(spare >= F.col("all") - F.col("bytes"), place)).alias("whole"), F.max(F.when(spare > 0, place)).alias("part"))
+        to = F.coalesce("whole.at", "part.at")
+        wish = votes.join(best, "hub").withColumn("to", (-to).cast("int"))
+        wish = wish.where(F.col("to").isNotNull() & (F.col("to") != F.col("shard")) & (F.col("whole").isNotNull() | (F.col("bytes") <= F.col("part.bytes")))).select("hub", "shard", "to")
         wish, _ = if_small(durable(wish, "shard-wishes"))
         movers = durable(rows.join(wish, ["hub", "shard"]).select("node", "hub", "size", "to", F.pmod(F.xxhash64("hub"), F.lit(BUCKETS)).cast("int").alias("bucket")), "shard-movers")
         placed = running_total(movers, ["to"], "bucket", ["hub", "node"], {"_start": "size"})

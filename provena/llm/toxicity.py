@@ -102,9 +102,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out, pe
 def fit_in_one_task(sample: DataFrame, train) -> bytes:
     """Runs train(texts, labels, prior) -> bytes in one task over the bounded sample, in the order of doc_id."""
     def run(frames):
-        pdf = pd.concat(list(frames), ignore_index=True)
-        pdf = pdf.sort_values("doc_id")
-        yield pd.DataFrame({"model": [train(pdf.text.tolist(), pdf.label.tolist(), float(pdf.prior.iloc[0]) if len(pdf) else 0.5)]})
+        if got := list(frames):
+            pdf = pd.concat(got, ignore_index=True).sort_values("doc_id")
+            yield pd.DataFrame({"model": [train(pdf.text.tolist(), pdf.label.tolist(), float(pdf.prior.iloc[0]))]})
 
     rows = sample.repartition(1).mapInPandas(run, "model binary").collect()
     return rows[0].model if rows else train([], [], 0.5)
