@@ -12,6 +12,8 @@ ROUNDS = 8
 #: A shard with less room than this share of the mean load counts as full.
 SLACK = 0.02
 BUCKETS = 1024
+#: A hub's wishes are spread over this many buckets, as one hub may hold a third of all rows.
+SALTS = 64
 
 
 def _loads(rows: DataFrame, shards: int) -> list[int]:
@@ -62,7 +64,7 @@ def propagate(linked: DataFrame, shards: int, mean: float, rounds: int = ROUNDS,
         wish = votes.join(best, "hub").withColumn("to", (-to).cast("int"))
         wish = wish.where(F.col("to").isNotNull() & (F.col("to") != F.col("shard")) & (F.col("whole").isNotNull() | (F.col("bytes") <= F.col("part.bytes")))).select("hub", "shard", "to")
         wish, _ = if_small(durable(wish, "shard-wishes"))
-        movers = durable(rows.join(wish, ["hub", "shard"]).select("node", "hub", "size", "to", F.pmod(F.xxhash64("hub"), F.lit(BUCKETS)).cast("int").alias("bucket")), "shard-movers")
+        movers = durable(rows.join(wish, ["hub", "shard"]).select("node", "hub", "size", "to", (F.pmod(F.xxhash64("hub"), F.lit(BUCKETS)) * SALTS + F.pmod(F.xxhash64("node"), F.lit(SALTS))).cast("int").alias("bucket")), "shard-movers")
         placed = running_total(movers, ["to"], "bucket", ["hub", "node"], {"_start": "size"})
         granted = durable(placed.where(F.col("_start") + F.col("size") <= _lookup(room, F.col("to"))).select("node", F.col("to")), "shard-moves")
         if granted.isEmpty():
