@@ -16,6 +16,8 @@ SHINGLE, BANDS, PICKS = 5, 24, 2
 SIMILARITY = 0.8
 #: Bands elect their leaders by this many different orders, so that a group that shares several buckets is compared with several leaders.
 LEADERS = 6
+#: What is left of a bucket after r rounds is compared with about MORE ** r leaders.
+MORE = 16
 #: Up to this distance the alignment runs along diagonals, beyond it row by row in a band.
 DIAGONALS = 200
 
@@ -231,29 +233,29 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     classes = durable(base.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-classes")
     reps = base.join(classes.where("rep is not null").select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     bands = reps.select(F.col("doc_id").alias("rep"), "n_words", F.posexplode("keys").alias("band", "key")).dropDuplicates(["rep", "band", "key"])
-    members, links, turn = bands, None, 0
+    members, links, tested, turn = bands, None, None, 0
     while True:
         first = F.min(F.struct(F.xxhash64("rep", F.col("band") % LEADERS).alias("h"), F.col("rep").alias("lead"), F.col("n_words").alias("lead_words")))
         heads = members.groupBy("band", "key").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "key", "first.lead", "first.lead_words", "n")
-        met = members.join(heads, ["band", "key"])
-        if turn:  # several leaders a bucket, about 4 ** turn, chosen by hash; the first leader is always one
-            heads = met.where((F.col("rep") == F.col("lead")) | (F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("n")) < 4**turn))
-            heads = durable(heads.select("band", "key", F.col("rep").alias("lead"), F.col("n_words").alias("lead_words")), "near-leaders")
-            met = members.join(heads, ["band", "key"])
-        met = durable(met.where("rep != lead").select("rep", "n_words", "band", "key", "lead", "lead_words"), "near-members")
-        fits = F.abs(F.col("n_words") - F.col("lead_words")) <= (1 - least) * F.greatest("n_words", "lead_words") + 1e-9
-        pairs = durable(met.where(fits).select(F.least("lead", "rep").alias("lead"), F.greatest("lead", "rep").alias("rep")).distinct(), "near-pairs")
+        met = members.join(heads, ["band", "key"]).withColumn("leads", F.col("rep") == F.col("lead"))
+        if turn:  # several leaders a bucket, about MORE ** turn, chosen by hash; the first leader is always one
+            leads = F.col("leads") | (F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("n")) < MORE**turn)
+            marked = durable(met.select("rep", "n_words", "band", "key", leads.alias("leads")), "near-leaders")
+            met = marked.join(marked.where("leads").select("band", "key", F.col("rep").alias("lead"), F.col("n_words").alias("lead_words")), ["band", "key"])
+        met = durable(met.where("rep != lead").select("rep", "n_words", "band", "key", "leads", "lead", "lead_words"), "near-members")
         if met.isEmpty():
             break
-        done = durable(verify(rows, pairs, least), "near-verified")
-        good = done.where("ok").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-        links = good if links is None else links.unionByName(good)
-        linked = good.unionByName(good.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        found = met.join(linked, (F.col("rep") == F.col("a")) & (F.col("lead") == F.col("b")), "left_semi").select("rep", "band", "key").distinct()
-        rest = met.select("rep", "n_words", "band", "key").distinct().join(found, ["rep", "band", "key"], "left_anti")
-        if turn:  # a leader is done once all have been compared with it
-            rest = rest.join(heads.select("band", "key", F.col("lead").alias("rep")), ["band", "key", "rep"], "left_anti")
-        members, turn = durable(rest, "near-rest"), turn + 1
+        fits = F.abs(F.col("n_words") - F.col("lead_words")) <= (1 - least) * F.greatest("n_words", "lead_words") + 1e-9
+        pairs = met.where(fits).select(F.least("lead", "rep").alias("lead"), F.greatest("lead", "rep").alias("rep")).distinct()
+        if tested is not None:  # a pair is aligned once, whatever bucket or round it meets in
+            pairs = pairs.join(tested.select("lead", "rep"), ["lead", "rep"], "left_anti")
+        done = durable(verify(rows, durable(pairs, "near-pairs"), least), "near-verified")
+        tested = done if tested is None else tested.unionByName(done)
+        links = tested.where("ok").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+        linked = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("rep"), F.col("b").alias("lead"), F.lit(True).alias("ok"))
+        rest = met.join(linked, ["rep", "lead"], "left").groupBy("rep", "n_words", "band", "key").agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("ok"), F.bool_or("leads").alias("leads"))
+        # whoever agrees with a leader is done with this bucket; a leader is done once all have been compared with it
+        members, turn = durable(rest.where("not ok and not leads").select("rep", "n_words", "band", "key"), "near-rest"), turn + 1
     out = base.select("doc_id", "digest").join(classes, "digest")
     if links is None:
         out = out.withColumn("label", F.col("rep"))
