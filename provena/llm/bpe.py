@@ -18,6 +18,8 @@ CHUNK_BITS = 10
 CORE_BYTES = 128
 #: The most frequent shared chunks, this many at most, are encoded once; all other text is encoded where it lies. Results are equal either way.
 SHARED_CHUNKS = 200_000
+#: References to one chunk are dealt over a salt for each this many of them; its tokens are copied once per salt.
+REFERENCES = 64
 #: Words kept by a Python worker in each of two generations.
 CACHED_WORDS = 150_000
 #: Text with only these characters needs no NFC and has one lower case for each character; other text goes through the library whole.
@@ -121,9 +123,9 @@ def encoder(path: str) -> Encoder:
 
 
 _SEEN = pa.schema([("fp", pa.binary()), ("n", pa.int64()), ("owner", pa.int64())])
-_ROW = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("fp", pa.binary()), ("ids", pa.binary()),
+_ROW = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("fp", pa.binary()), ("salt", pa.int32()), ("ids", pa.binary()),
                   ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-_ROW_DDL = "kind string, key long, doc_id long, pos int, fp binary, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
+_ROW_DDL = "kind string, key long, doc_id long, pos int, fp binary, salt int, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def _short(ids: bytes) -> bytes:
@@ -149,7 +151,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
     First pass: digests of chunk cores are counted over all documents, pre-aggregated per batch. Second pass: a
     shared core is encoded by the document with its smallest doc_id only; other documents keep a reference. Text
     between shared cores is encoded in place in one piece, which also repairs the joins of chunks. References are joined with
-    the encoded cores by digest and put together per document. Documents without references are finished at once, so texts are never shuffled.
+    the encoded cores by digest and salt (a frequent core has many salts) and put together per document. Documents without references are finished at once, so texts are never shuffled.
     """
     path = tokenizer or default_tokenizer()
     spark = docs.sparkSession
@@ -169,8 +171,8 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.binary()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], schema=_SEEN)
 
     seen = rows.mapInArrow(count, "fp binary, n long, owner long").groupBy("fp").agg(F.sum("n").alias("n"), F.min("owner").alias("owner")).where("n > 1")
-    top = seen.orderBy(F.desc("n"), "fp").limit(shared_chunks).select("fp", "owner").toArrow()  # bounded by shared_chunks
-    shared = spark.sparkContext.broadcast(dict(zip(top.column("fp").to_pylist(), top.column("owner").to_pylist())))
+    top = seen.orderBy(F.desc("n"), "fp").limit(shared_chunks).select("fp", "owner", "n").toArrow()  # bounded by shared_chunks
+    shared = spark.sparkContext.broadcast(dict(zip(top.column("fp").to_pylist(), zip(top.column("owner").to_pylist(), top.column("n").to_pylist()))))
 
     def encode(batches):
         enc, owners, base, n = encoder(path), shared.value, TaskContext.get().partitionId() << 40, 0
@@ -181,10 +183,9 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
                 for i, raw in zip(part.column("doc_id").to_pylist(), part.column("_b").to_pylist()):
                     plan, done = [], 0
                     for s, e, fp in cores(raw):
-                        owner = owners.get(fp)
-                        if owner is None:
+                        if fp not in owners:
                             continue
-                        if owner == i:
+                        if owners[fp][0] == i:
                             owned.append(fp)
                             texts.append(raw[s:e].decode())
                         else:
@@ -195,23 +196,24 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
                 texts += [x for _, plan in plans for x, fp in plan if fp is None]
                 codes = iter(enc.encode(texts))
                 for fp, (ids, _) in zip(owned, codes):
-                    out.append(("core", None, None, None, fp, _short(ids), None, None, None))
+                    out.append(("core", None, None, None, fp, 1 + owners[fp][1] // REFERENCES, _short(ids), None, None, None))
                 for i, plan in plans:
                     n += 1
                     if len(plan) == 1:
                         ids, decoded = next(codes)
-                        out.append(("done", None, i, None, None, _short(ids) if with_ids else None, *_digests(ids, decoded)))
+                        out.append(("done", None, i, None, None, None, _short(ids) if with_ids else None, *_digests(ids, decoded)))
                     else:
                         for pos, (_, fp) in enumerate(plan):
                             ids = None if fp else _short(next(codes)[0])
-                            out.append(("part", base | n, i, pos, fp, ids, None, None, None))
+                            salt = (base + n + pos) % (1 + owners[fp][1] // REFERENCES) if fp else None
+                            out.append(("part", base | n, i, pos, fp, salt, ids, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ROW)], schema=_ROW)
 
     made = durable(rows.mapInArrow(encode, _ROW_DDL), "bpe-parts")
-    known = made.where("kind = 'core'").groupBy("fp").agg(F.first("ids").alias("_ids"))
-    parts = made.where("kind = 'part'").select("key", "doc_id", "pos", "fp", "ids")
-    met = parts.where("fp is not null").drop("ids").join(known, "fp").select("key", "doc_id", "pos", F.col("_ids").alias("ids"))
-    whole = parts.where("fp is null").drop("fp").unionByName(met).groupBy("key", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    known = made.where("kind = 'core'").groupBy("fp").agg(F.first("ids").alias("_ids"), F.max("salt").alias("_salts")).select("fp", "_ids", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("salt"))
+    parts = made.where("kind = 'part'").select("key", "doc_id", "pos", "fp", "salt", "ids")
+    met = parts.where("fp is not null").drop("ids").join(known, ["fp", "salt"]).select("key", "doc_id", "pos", F.col("_ids").alias("ids"))
+    whole = parts.where("fp is null").drop("fp", "salt").unionByName(met).groupBy("key", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
     whole = whole.select("doc_id", F.col("parts.ids").alias("parts"))
 
     def join(batches):
