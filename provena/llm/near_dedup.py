@@ -1,4 +1,4 @@
-"""Near-duplicate detection by Order MinHash, candidates verified by banded alignment of words."""
+"""Near-duplicate detection by MinHash and all k-mers of short texts, candidates verified by banded alignment of words."""
 from __future__ import annotations
 
 import hashlib
@@ -10,18 +10,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from provena.llm.common import durable, if_small
 
-#: Words in a k-mer, bands, and occurrence-labelled k-mers whose order makes a band's key.
-SHINGLE, BANDS, PICKS = 5, 24, 2
+#: Words in a k-mer, and bands, each keyed by the k-mer that is smallest under the band's hash.
+SHINGLE, BANDS = 3, 32
+#: Texts of up to EXACT words are keyed by all of their k-mers, those of more than PLAIN also by bands. Texts of which one has at
+#: most PLAIN words are alike only if the other has at most EXACT.
+EXACT, PLAIN = 48, 38
 #: Documents are linked if 1 - (word edits) / (words of the longer) is at least this.
 SIMILARITY = 0.8
-#: Bands elect their leaders by this many different orders, so that a group that shares several buckets is compared with several leaders.
-LEADERS = 6
-#: What is left of a bucket after r rounds is compared with about MORE ** r leaders.
-MORE = 16
+#: Counters of a text's words by hash. They never differ by more than the words do, so a pair they tell apart is apart.
+BAG = 128
+#: A bucket is compared in blocks of about this many members.
+BLOCK = 512
+#: Rounds of nearest members end when no more than this many pairs of one agreed; the round of all pairs that are left follows.
+FEW = 256
 #: Up to this distance the alignment runs along diagonals, beyond it row by row in a band.
 DIAGONALS = 200
 
-_SEEDS = np.random.default_rng(7).integers(1, 2**63, BANDS, dtype=np.uint64)
+_SEEDS, _ODD = np.random.default_rng(7).integers(1, 2**63, (2, BANDS), dtype=np.uint64) | np.array([[0], [1]], np.uint64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -49,42 +54,42 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return _mix(np.add.reduceat(value * power[place], start))
 
 
-def order_minhash(words: np.ndarray) -> np.ndarray:
-    """BANDS keys of a text's word hashes, or none for fewer than SHINGLE words.
+def _mers(words: np.ndarray, k: int) -> np.ndarray:
+    n = len(words) - k + 1
+    mer = np.zeros(max(n, 0), np.uint64)
+    for i in range(k if n > 0 else 0):
+        mer = mer * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n]
+    return _mix(mer + np.uint64(k))
 
-    Each k-mer is labelled with how often it came before, so the labelled k-mers are distinct. A band takes the
-    PICKS smallest of them under its own hash and keys their sequence in text order.
+
+def bucket_keys(words: np.ndarray) -> np.ndarray:
+    """Keys of a text's word hashes, of which texts that are alike share one.
+
+    Up to EXACT words they are all k-mers: of k-mers of equal length one more than there may be edits, one is left
+    whole, and of 0.2 edits a word it has SHINGLE words (2 if the longer text has 5). Longer texts have BANDS keys: with a fifth
+    of the words replaced, a quarter of the k-mers of the two together is common even if the edits are spread evenly, so the chance
+    to share none of 32 keys is at most 0.75 ** 32 = 0.0001.
     """
-    n = len(words) - SHINGLE + 1
-    if n < 1:
-        return np.empty(0, np.int64)
-    mer = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        mer = mer * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
-    mer = _mix(mer)
-    order = np.argsort(mer, kind="stable")
-    s = mer[order]
-    fresh = np.concatenate([[True], s[1:] != s[:-1]])
-    label = np.zeros(n, np.uint64)
-    if not fresh.all():
-        label[order] = (np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))).astype(np.uint64)
-    mer = _mix(mer + label * np.uint64(0xD6E8FEB86659FD93))
-    keys = np.empty(BANDS, np.uint64)
-    for at in range(0, BANDS, step := max(1, min(BANDS, 100_000 // n))):
-        seeds = _SEEDS[at : at + step]
-        v = _mix(mer[None, :] ^ seeds[:, None])
-        rows = np.arange(len(seeds))
-        picked = []
-        for _ in range(min(PICKS, n)):
-            i = v.argmin(axis=1)
-            picked.append(i)
-            v[rows, i] = np.uint64(2**64 - 1)
-        picked = np.sort(np.stack(picked, axis=1), axis=1)
-        key = np.zeros(len(seeds), np.uint64)
-        for c in range(picked.shape[1]):
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + mer[picked[:, c]])
-        keys[at : at + step] = key
-    return keys.view(np.int64)
+    n = len(words)
+    keys = []
+    if n <= EXACT:
+        keys += [_mers(words, SHINGLE), *([_mers(words, 2)] if 4 <= n <= 5 else [])]
+    if n > PLAIN:
+        mer = np.sort(_mers(words, SHINGLE))
+        fresh = np.append(True, mer[1:] != mer[:-1])
+        if not fresh.all():  # labelled with how often it came before, so that repeated k-mers count as often as they stand
+            at = np.arange(len(mer))
+            mer = _mix(mer + (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        step = max(1, min(BANDS, 100_000 // len(mer)))
+        for at in range(0, BANDS, step):
+            seeds = _SEEDS[at : at + step]
+            v = (mer[None, :] ^ seeds[:, None]) * _ODD[at : at + step, None]
+            keys.append(_mix(mer[v.argmin(axis=1)] ^ seeds))
+    return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, np.int64)
+
+
+def word_bag(words: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((words >> np.uint64(40)).astype(np.int64) % BAG, minlength=BAG), 255).astype(np.uint8).tobytes()
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
@@ -206,18 +211,97 @@ def components(edges: DataFrame) -> DataFrame:
             return total
 
 
+def candidates(members: DataFrame, least: float, nearest: bool) -> DataFrame:
+    """rep, lead, apart of members of one bucket that differ in label and that word counts and bags don't tell apart.
+
+    members: key, n (size of the bucket), rep, label, n_words, bag. With `nearest`, for each member the one of each block whose bag is
+    nearest, else all, each once. A bucket is dealt out as pairs of blocks; pairs that are told apart never become rows.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.withColumn("_own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), (F.col("_own") > F.col("_other")).alias("upper"), "rep", "label", "n_words", "bag")
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def meet(rep, label, words, bags, upper, alone):
+        a = np.arange(len(rep)) if alone else np.flatnonzero(~upper)
+        b = a if alone else np.flatnonzero(upper)
+        if not len(a) or not len(b) or (label == label[0]).all():
+            return
+        far = np.int32(2**31 - 1)
+        best, which = np.full(len(rep), far), np.zeros(len(rep), np.int64)
+        for at in range(0, len(a), 64):
+            x = a[at : at + 64]
+            long = np.maximum(words[x][:, None], words[b][None, :])
+            both = words[x][:, None] + words[b][None, :]
+            most = ((1 - least) * long + 1e-9).astype(np.int64)
+            open_ = (label[x][:, None] != label[b][None, :]) & (2 * long - both <= most)
+            if alone and not nearest:
+                open_ &= x[:, None] < b[None, :]
+            i, j = np.nonzero(open_)
+            for cut in range(0, len(i), 16_384):
+                p, q = i[cut : cut + 16_384], j[cut : cut + 16_384]
+                one, two = bags[x[p]], bags[b[q]]
+                apart = (np.maximum(one, two) - np.minimum(one, two)).sum(axis=1, dtype=np.int32)
+                fit = apart <= both[p, q] - 2 * (long[p, q] - most[p, q])
+                p, q, apart = x[p[fit]], b[q[fit]], apart[fit]
+                if not nearest:
+                    yield rep[p], rep[q], apart
+                    continue
+                for me, you in ((p, q), (q, p)):
+                    order = np.lexsort((rep[you], apart, me))
+                    m, y, d = me[order], you[order], apart[order]
+                    first = np.append(True, m[1:] != m[:-1])[: len(m)]
+                    m, y, d = m[first], y[first], d[first]
+                    closer = d < best[m]
+                    best[m[closer]], which[m[closer]] = d[closer], y[closer]
+        if nearest:
+            found = np.flatnonzero(best < far)
+            yield rep[found], rep[which[found]], best[found]
+
+    def run(batches):
+        kept = None
+
+        def groups():
+            nonlocal kept
+            for batch in batches:
+                here = pa.Table.from_batches([batch])
+                kept = here if kept is None else pa.concat_tables([kept, here])
+                ids = np.stack([kept.column(c).to_numpy().astype(np.int64) for c in ("key", "lo", "hi")])
+                ends = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
+                if len(ends):  # the last group may go on in the next batch
+                    yield kept.slice(0, ends[-1]), ends
+                    kept = kept.slice(ends[-1])
+            if kept is not None and kept.num_rows:
+                yield kept, np.array([kept.num_rows])
+
+        for table, ends in groups():
+            rep, label, words, lo, hi = (table.column(c).to_numpy() for c in ("rep", "label", "n_words", "lo", "hi"))
+            words = words.astype(np.int64)
+            upper = np.array(table.column("upper").to_pylist(), bool)
+            bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BAG)
+            out, start = [], 0
+            for end in ends:
+                g = slice(start, end)
+                out += meet(rep[g], label[g], words[g], bags[g], upper[g], lo[start] == hi[start])
+                start = end
+            for at in range(0, len(out), 4096):
+                x, y, d = (np.concatenate(c) for c in zip(*out[at : at + 4096]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(d, pa.int32())], ["rep", "lead", "apart"])
+
+    return dealt.mapInArrow(run, "rep long, lead long, apart int")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id, cluster_id, kept.
 
     class_id is the smallest id with the same words (ASCII lower case, any white space); cluster_id the smallest id that is
-    connected by links between classes; kept marks that document (all its rows, if rows repeat an id). Two classes are linked if they share a band key and
-    their words align with similarity `least` or more. Texts of fewer than 5 words, empty and null ones are linked by
+    connected by links between classes; kept marks that document (all its rows, if rows repeat an id). Two classes are linked if they share a
+    key and their words align with similarity `least` (0.8 or more) or more. Texts of fewer than 4 words, empty and null ones are linked by
     equality alone. A null id is in the class of its text, never kept beside other ids. An empty table gives no rows. Other columns are ignored.
 
-    Copies are reduced to one representative before any pairing. In a bucket each member is compared with one leader;
-    those that differ from it go on as a smaller bucket with a new leader, and later with several, until none is left, so
-    no member is passed over and no bucket is expanded into all pairs. Two members that agree with each other but not both with
-    their leader meet in their other buckets, which have other leaders. Links, labels and texts stay distributed.
+    Copies are reduced to one representative before any pairing. In rounds each member is aligned with the one of another group whose bag of words
+    is nearest over its buckets, which joins most groups; then every pair of a bucket that is not yet connected, and that word counts and bags
+    don't tell apart, is aligned, so no link between members is passed over. Links, labels and texts stay distributed.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -226,50 +310,44 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
             for at in range(0, batch.num_rows, 512):
                 p = batch.slice(at, 512)
                 raw = [normal(t) for t in p.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()),
-                                                  pa.array([order_minhash(word_hashes(r)) for r in raw], pa.list_(pa.int64())), pa.array([r.count(b" ") + 1 for r in raw], pa.int32())], ["doc_id", "digest", "keys", "n_words"])
+                words = [word_hashes(r) for r in raw]
+                yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array([bucket_keys(w) for w in words], pa.list_(pa.int64())),
+                                                  pa.array([len(w) for w in words], pa.int32()), pa.array([word_bag(w) for w in words], pa.binary())], ["doc_id", "digest", "keys", "n_words", "bag"])
 
-    base = durable(rows.mapInArrow(sketch, "doc_id long, digest binary, keys array<long>, n_words int"), "near-sketch")
+    base = durable(rows.mapInArrow(sketch, "doc_id long, digest binary, keys array<long>, n_words int, bag binary"), "near-sketch")
     classes = durable(base.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-classes")
-    reps = base.join(classes.where("rep is not null").select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    bands = reps.select(F.col("doc_id").alias("rep"), "n_words", F.posexplode("keys").alias("band", "key")).dropDuplicates(["rep", "band", "key"])
-    members, links, tested, turn = bands, None, None, 0
-    while True:
-        first = F.min(F.struct(F.xxhash64("rep", F.col("band") % LEADERS).alias("h"), F.col("rep").alias("lead"), F.col("n_words").alias("lead_words")))
-        heads = members.groupBy("band", "key").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "key", "first.lead", "first.lead_words", "n")
-        met = members.join(heads, ["band", "key"]).withColumn("leads", F.col("rep") == F.col("lead"))
-        if turn:  # several leaders a bucket, about MORE ** turn, chosen by hash; the first leader is always one
-            leads = F.col("leads") | (F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("n")) < MORE**turn)
-            marked = durable(met.select("rep", "n_words", "band", "key", leads.alias("leads")), "near-leaders")
-            met = marked.join(marked.where("leads").select("band", "key", F.col("rep").alias("lead"), F.col("n_words").alias("lead_words")), ["band", "key"])
-        met = durable(met.where("rep != lead").select("rep", "n_words", "band", "key", "leads", "lead", "lead_words"), "near-members")
-        if met.isEmpty():
-            break
-        fits = F.abs(F.col("n_words") - F.col("lead_words")) <= (1 - least) * F.greatest("n_words", "lead_words") + 1e-9
-        pairs = met.where(fits).select(F.least("lead", "rep").alias("lead"), F.greatest("lead", "rep").alias("rep")).distinct()
-        if tested is not None:  # a pair is aligned once, whatever bucket or round it meets in
+    reps = base.join(classes.where("rep is not null").select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
+    shared, _ = if_small(durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets"))
+    bags = reps.select(F.col("doc_id").alias("rep"), "n_words", "bag")
+    members = durable(keyed.join(shared, "key").join(bags, "rep").withColumn("label", F.col("rep")), "near-members")
+    label, tested, nearest, more = None, None, True, True
+    while more:
+        if label is not None:
+            known = if_small(label.select(F.col("node").alias("rep"), F.col("label").alias("_label")))[0]
+            members = members.join(known, "rep", "left").withColumn("label", F.coalesce("_label", "label")).drop("_label")
+        found = candidates(members, least, nearest)
+        if nearest:
+            found = found.groupBy("rep").agg(F.min(F.struct("apart", "lead")).alias("m")).select("rep", "m.lead")
+        pairs = found.select(F.least("lead", "rep").alias("lead"), F.greatest("lead", "rep").alias("rep")).distinct()
+        if tested is not None:  # a pair is aligned once
             pairs = pairs.join(tested.select("lead", "rep"), ["lead", "rep"], "left_anti")
         done = durable(verify(rows, durable(pairs, "near-pairs"), least), "near-verified")
         tested = done if tested is None else tested.unionByName(done)
-        links = tested.where("ok").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-        linked = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("rep"), F.col("b").alias("lead"), F.lit(True).alias("ok"))
-        rest = met.join(linked, ["rep", "lead"], "left").groupBy("rep", "n_words", "band", "key").agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("ok"), F.bool_or("leads").alias("leads"))
-        # whoever agrees with a leader is done with this bucket; a leader is done once all have been compared with it
-        members, turn = durable(rest.where("not ok and not leads").select("rep", "n_words", "band", "key"), "near-rest"), turn + 1
+        more, nearest = nearest, nearest and done.where("ok").count() > FEW  # the last round takes all pairs
+        label = components(tested.where("ok").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
     out = base.select("doc_id", "digest").join(classes, "digest")
-    if links is None:
+    if label is None:
         out = out.withColumn("label", F.col("rep"))
     else:
-        label = components(links)
         out = out.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     cluster = F.coalesce("label", "rep")
     return out.select("doc_id", F.col("rep").alias("class_id"), cluster.alias("cluster_id"), F.col("doc_id").eqNullSafe(cluster).alias("kept"))
 
 
 def brute_force(texts: dict[int, str | None], least: float = SIMILARITY) -> dict[int, int]:
-    """cluster_id by comparing all pairs of texts that share a 5-word shingle: for tests."""
+    """cluster_id by comparing all pairs of texts: for tests."""
     raw = {i: normal(t) for i, t in texts.items()}
-    shingles = {i: {tuple(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1)} for i, r in raw.items() for w in [r.split()]}
     parent = {i: i for i in texts}
 
     def root(i):
@@ -280,7 +358,7 @@ def brute_force(texts: dict[int, str | None], least: float = SIMILARITY) -> dict
     ids = sorted(texts)
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
-            if raw[i] == raw[j] or shingles[i] & shingles[j] and similar(raw[i], raw[j], least):
+            if raw[i] == raw[j] or similar(raw[i], raw[j], least):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: root(i) for i in ids}

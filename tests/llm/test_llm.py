@@ -296,3 +296,27 @@ def test_pipeline_against_plain_python(spark):
     assert sorted(r.doc_id for r in rows) == want
     truth = dict(zip(docs, bpe.brute_force(list(docs.values()))))
     assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == truth[r.doc_id] for r in rows)
+
+
+def replaced(words, share, r, every=False):
+    """words with a share of them replaced, at random places or evenly spread."""
+    n = int(len(words) * share + 1e-9)
+    at = [int((k + 0.5) * len(words) / n) for k in range(n)] if every else r.sample(range(len(words)), n)
+    return [f"n{r.randint(0, 10**9)}" if i in set(at) else w for i, w in enumerate(words)]
+
+
+def test_near_chains_beside_a_crowd(spark, monkeypatch):
+    """B near the hot text A, C near B but not near A, D near C only; in one block and in many."""
+    r = random.Random(12)
+    a = [f"v{k}" for k in range(200)]
+    rows = [(i, " ".join(replaced(a, 0.05, r))) for i in range(150)]
+    for _ in range(12):
+        b = replaced(a, 0.05, r)
+        c = replaced(b, 0.18, r)
+        rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate((b, c, replaced(c, 0.18, r)))]
+    rows += [(len(rows) + k, " ".join(a[:80] + [f"q{k}x{j}" for j in range(120)])) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_dedup.brute_force(dict(rows))
+    assert {x.doc_id: x.cluster_id for x in near_dedup.near_duplicates(frame).collect()} == want
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    assert {x.doc_id: x.cluster_id for x in near_dedup.near_duplicates(frame).collect()} == want
