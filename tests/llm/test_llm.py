@@ -305,6 +305,23 @@ def replaced(words, share, r, every=False):
     return [f"n{r.randint(0, 10**9)}" if i in set(at) else w for i, w in enumerate(words)]
 
 
+def test_near_pairs_of_every_length_and_edit(spark):
+    """Pairs of 5 to 400 words at 10 to 20 % edits."""
+    r = random.Random(11)
+    rows = []
+    for n in (5, 8, 10, 12, 15, 30, 38, 39, 48, 49, 60, 150, 400):
+        for share in (0.1, 0.15, 0.2):
+            for every in (False, True):
+                for _ in range(4):
+                    a = [f"v{r.randint(0, 10**9)}" for _ in range(n)]
+                    rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(replaced(a, share, r, every)))]
+    for k in range(6):  # a phrase repeated, with a fifth of the words new
+        a = [f"u{k}"] * 300
+        rows += [(len(rows) + j, " ".join(replaced(a, 0.1, r, True))) for j in range(2)]
+    got = {x.doc_id: x.cluster_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_near_chains_beside_a_crowd(spark, monkeypatch):
     """B near the hot text A, C near B but not near A, D near C only; in one block and in many."""
     r = random.Random(12)
