@@ -13,8 +13,9 @@ from provena.llm.common import durable, if_small
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of a protected value that count as occurring with it.
 WINDOW = 10
-#: A term is judged for a value only if they occur together in this many different contexts (copies of a context count once).
-SUPPORT = 3
+#: A term is judged for a value if they occur together in this many different contexts (copies of a context count once), or in
+#: two that chance explains with at most CHANCE.
+SUPPORT, CHANCE = 3, 0.01
 #: Share of a value's information content that a term may reveal; above it the term is generalised, above REMOVE removed.
 DISCLOSURE, REMOVE = 0.8, 0.95
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -73,16 +74,16 @@ def _term(token: str) -> str:
 
 
 def _terms(tokens) -> set[str]:
-    """Terms of lower-cased tokens: stripped of punctuation, three characters or more, without digits, '@' or '+'."""
-    return {t for x in tokens if len(t := _term(x)) >= 3 and t.isalpha()}
+    """Terms of lower-cased tokens: all that is left when punctuation at the edges is stripped."""
+    return {t for x in tokens if (t := _term(x))}
 
 
 def contexts(text: str, spans: list[tuple[str, int, int]]) -> dict[str, set[str]]:
     """For each protected value of a text, the terms within WINDOW words of any of its mentions."""
     out: dict[str, set[str]] = {}
     for kind, s, e in spans:
-        before = text[max(0, s - 40 * WINDOW) : s].lower().split()[-WINDOW:]
-        after = text[e : e + 40 * WINDOW].lower().split()[:WINDOW]
+        before = [w.lower() for w in text[:s].rsplit(None, WINDOW)[-WINDOW:]]
+        after = [w.lower() for w in text[e:].split(None, WINDOW)[:WINDOW]]
         value = text[s:e].lower() if kind == "email" else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", text[s:e])
         out.setdefault(f"{kind}:{value}", set()).update(_terms(before + after))
     return out
@@ -93,7 +94,8 @@ def revealing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float =
 
     With N documents, IC(c) = log(N / n(c)) is what a value c is worth and PMI(c; t) = log(N n(c, t) / (n(c) n(t)))
     what a term t tells of it; disclosure is PMI / IC, 1 where t occurs nowhere without c. Counts are of documents, over all of them; a pair
-    needs `support` different contexts, so that copies of one text alone don't make its words revealing.
+    needs `support` different contexts, or two where chance would bring two or more with at most CHANCE (Poisson, by the counts of
+    both), so that copies of one text alone don't make its words revealing.
     """
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -109,9 +111,9 @@ def revealing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float =
 
     found = rows.mapInArrow(mentions, "value string, context binary, terms array<string>, n long")
     found = durable(found.groupBy("value", "context").agg(F.sum("n").alias("n"), F.first("terms").alias("terms")), "pii-contexts")
-    values = found.groupBy("value").agg(F.sum("n").alias("n_value"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
+    values = found.groupBy("value").agg(F.sum("n").alias("n_value"), F.count("*").alias("contexts")).where(F.col("contexts") >= min(support, 2))
     often = found.join(values.select("value"), "value", "left_semi") if not (small := if_small(values.select("value")))[1] else found.join(small[0], "value", "left_semi")
-    pairs = often.select("value", "n", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
+    pairs = often.select("value", "n", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("contexts")).where(F.col("contexts") >= min(support, 2))
     pairs = durable(pairs.join(values.select("value", "n_value"), "value"), "pii-pairs")
     wanted, few = if_small(pairs.select("term").distinct())
     if few:
@@ -140,6 +142,8 @@ def revealing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float =
     counts = durable(counts, "pii-counts")
     total = counts.where("term is null").agg(F.coalesce(F.max("n_term"), F.lit(0)).alias("n")).first()["n"]  # one number
     told = pairs.join(counts.where("term is not null"), "term")
+    by_chance = F.col("n_value") * F.col("n_term") / F.lit(float(max(total, 1)))
+    told = told.where((F.col("contexts") >= support) | (F.lit(1.0) - F.exp(-by_chance) * (1 + by_chance) <= CHANCE))
     pmi = F.log(F.lit(float(max(total, 1))) * F.col("n_pair") / (F.col("n_value") * F.col("n_term")))
     told = told.withColumn("disclosure", pmi / F.log(F.lit(float(max(total, 1))) / F.col("n_value"))).where((F.col("n_value") < total) & (F.col("disclosure") >= disclosure))
     worst = told.groupBy("term").agg(F.max_by("value", F.struct("disclosure", "value")).alias("value"), F.max("disclosure").alias("disclosure"))
@@ -184,7 +188,14 @@ def find_pii(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col
     else:
         known = None
         keyed = rows.withColumn("_key", F.xxhash64("doc_id", "text"))
-        own = keyed.select("_key", F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda x: F.btrim(x, F.lit(PUNCTUATION))))).alias("term")).distinct()
+
+        def own_terms(batches):
+            for b in batches:
+                for k, t in zip(b.column("_key").to_pylist(), b.column("text").to_pylist()):
+                    names = sorted(_terms(set(t.lower().split())))
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(names), pa.int64()), pa.array(names, pa.string())], ["_key", "term"])
+
+        own = keyed.select("_key", "text").mapInArrow(own_terms, "_key long, term string").distinct()
         own = own.join(terms.select("term", "action"), "term").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("hot"))
         rows = keyed.join(own, "_key", "left").select("doc_id", "text", "hot")
 

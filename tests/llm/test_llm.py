@@ -337,3 +337,15 @@ def test_near_chains_beside_a_crowd(spark, monkeypatch):
     assert {x.doc_id: x.cluster_id for x in near_dedup.near_duplicates(frame).collect()} == want
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     assert {x.doc_id: x.cluster_id for x in near_dedup.near_duplicates(frame).collect()} == want
+
+
+def test_revealing_terms_of_any_spelling(spark):
+    names = ["jean-luc", "o'brien", "acct-4471", "user99", "xi", "\u0915\u093f\u0930\u0923"]
+    rows = [(10 * k + j, f"{'pqrst'[j] * 5} {name} wrote to box{k}@corp.example {'uvwxy'[j] * 4} {'y' * 900} end") for k, name in enumerate(names) for j in range(2)]
+    rows += [(1000 + i, f"plain words of text number {i}") for i in range(200)] + [(2000, "saw Jean-Luc, and (O'Brien)"), (3000, "once@corp.example hapax")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = pii.revealing_terms(docs)
+    named = {r.term for r in terms.collect()}
+    assert set(names) <= named and "plain" not in named and "hapax" not in named
+    got = {r.doc_id: r for r in pii.find_pii(docs, terms).collect()}
+    assert got[2000].spans == "term:4:12,term:19:26"
