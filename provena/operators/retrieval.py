@@ -14,6 +14,8 @@ from provena.functions.text import LATIN, Profile, inner, key_tokens
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Queries are broadcast only if counted and no more than this.
 BROADCAST_ROWS = 200_000
+#: First words of the windows that a piece of a record holds.
+PIECE = 256
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -112,11 +114,16 @@ def near_phrase_matches(docs: DataFrame, id_col: str, queries: DataFrame, query_
     """
     q = queries.select(F.col(query_id), key_tokens(F.col("text"), profile).alias("q")).where(F.size("q") >= 3)
     anchors = q.select(query_id, "q", F.posexplode(F.slice("q", 1, 2)).alias("anchor", "term"))
-    hits = positions(docs, id_col, profile=profile).join(sized(anchors), "term")
+    longest = q.agg(F.coalesce(F.max(F.size("q")), F.lit(0)).alias("n")).first()["n"]
+    # long records go in overlapping pieces, so that a word carries its piece and not the whole record
+    whole = docs.select(F.col(id_col), key_tokens(F.col("text"), profile).alias("_k")).where(F.size("_k") > 0)
+    pieces = F.transform(F.sequence(F.lit(0), F.size("_k") - 1, F.lit(PIECE)), lambda a: F.struct(a.alias("at"), F.slice("_k", a + 1, PIECE + longest).alias("keys")))
+    pieces = whole.select(id_col, F.size("_k").alias("n_words"), F.explode(pieces).alias("_p")).select(id_col, "n_words", "_p.at", "_p.keys")
+    hits = pieces.select(id_col, "n_words", "at", "keys", F.posexplode("keys").alias("_p", "term")).withColumn("pos", F.col("_p") + 1).join(sized(anchors), "term")
     hits = hits.withColumn("start", F.col("pos") - F.col("anchor")).where((F.col("start") >= 1) & (F.col("start") + F.size("q") - 1 <= F.size("keys")))
     pairs = F.zip_with("q", F.slice("keys", F.greatest("start", F.lit(1)), F.size("q")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     hits = hits.withColumn("miss", F.filter(pairs, lambda p: p["a"] != p["b"])).where((F.size("miss") > 0) & (F.size("miss") <= F.when(F.size("q") < 6, 1).otherwise(2)))
-    hits = hits.select(query_id, id_col, "start", F.size("keys").alias("n_words"), "miss").distinct()
+    hits = hits.select(query_id, id_col, (F.col("at") + F.col("start")).alias("start"), "n_words", "miss").distinct()
     one = hits.withColumn("m", F.explode("miss")).withColumn("ok", close_spelling(F.col("m.a"), F.col("m.b")))
     good = one.groupBy(query_id, id_col, "start", "n_words").agg(F.bool_and("ok").alias("ok")).where("ok")
     return good.select(query_id, id_col, "n_words").distinct()

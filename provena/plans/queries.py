@@ -203,8 +203,7 @@ def containment_relevance(spark, d):
 
 @query()
 def near_phrase(spark, d):
-    q = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(T.key_tokens(F.col("text")), 3, 5), " ").alias("text"))
-    return retrieval.near_phrase_matches(table(spark, d, "documents"), "doc_id", q, "item_id")
+    return retrieval.near_phrase_matches(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id")
 
 
 # -- adjacency, classes, samples ------------------------------------------------------------------------------------
