@@ -469,8 +469,11 @@ def regression_pass(spark, d):
 
 @query()
 def align_claims(spark, d):
-    """Each passage held against the documents that BM25 ranks first for it."""
-    top = retrieval.top(_bm25(spark, d), "item_id", "doc_id", 3)
+    """Each passage held against the 8 documents that BM25 ranks first for it and all that contain it, exactly or nearly; those below have no rank."""
+    top = retrieval.top(_bm25(spark, d), "item_id", "doc_id", 8).select("item_id", "doc_id", "rank")
+    asked = [table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id"]
+    more = retrieval.phrase_matches(*asked).select("item_id", "doc_id").unionByName(retrieval.near_phrase_matches(*asked).select("item_id", "doc_id")).distinct()
+    top = top.unionByName(more.join(top, ["item_id", "doc_id"], "left_anti").withColumn("rank", F.lit(None).cast("int")))
     pairs = top.join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("claim")), "item_id").join(table(spark, d, "documents").select("doc_id", F.col("text").alias("source")), "doc_id")
     al = align.align_pairs(pairs, "claim", "source", stemmed=False)
     return al.select("item_id", "doc_id", "rank", F.round("al.claim_coverage", 6).alias("claim_coverage"), F.round("al.dice", 6).alias("dice"), F.col("al.exact").alias("exact"), F.col("al.span_start").alias("span_start"), F.col("al.span_end").alias("span_end"))

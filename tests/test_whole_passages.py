@@ -37,3 +37,11 @@ def test_near_phrase_takes_whole_passages(spark, small):
     d, passages, docs = small
     want = {(i, j) for i, p in enumerate(passages) for j, w in enumerate(docs) if near(p, w)}
     assert {(r.item_id, r.doc_id) for r in own.near_phrase(spark, d).collect()} == want and len(want) > 20
+
+
+def test_align_takes_every_document_that_contains_a_passage(spark, small):
+    d, passages, docs = small
+    want = {(i, j) for i, p in enumerate(passages) for j, w in enumerate(docs) if near(p, w) or any(w[k : k + len(p)] == p for k in range(len(w)))}
+    rows = own.align_claims(spark, d).collect()
+    got = {(r.item_id, r.doc_id) for r in rows}
+    assert want <= got and max(r.rank or 0 for r in rows) == 8
