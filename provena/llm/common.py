@@ -3,18 +3,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
 #: A side is broadcast only when it has been counted and has no more rows than this (rows are narrow: ids, hashes, numbers).
 BROADCAST_ROWS = 200_000
+#: Where durable() put its tables; entries go with the DataFrames.
+_PLACES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of this process where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local master gets a folder of its own; a cluster raises."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = f"file://{tempfile.mkdtemp(prefix='provena-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -25,7 +31,18 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that durable() wrote and that nothing reads any more."""
+    for df in tables:
+        if path := _PLACES.pop(df, None):
+            jvm = df.sparkSession._jvm
+            there = jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:

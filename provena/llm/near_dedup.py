@@ -1,33 +1,31 @@
-"""Near-duplicate detection by MinHash and all k-mers of short texts, candidates verified by banded alignment of words."""
+"""Near-duplicate detection by Order MinHash (all k-mers of short texts); candidates verified by banded alignment of words."""
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from provena.llm.common import durable, if_small
+from provena.llm.common import durable, forget, if_small
 
-#: Words in a k-mer, and bands, each keyed by the k-mer that is smallest under the band's hash.
-SHINGLE, BANDS = 3, 32
-#: Texts of up to EXACT words are keyed by all of their k-mers, those of more than PLAIN also by bands. Texts of which one has at
-#: most PLAIN words are alike only if the other has at most EXACT.
-EXACT, PLAIN = 48, 38
+#: Words in a k-mer, k-mers in a key (kept in the order of the text) and keys of a text.
+MER, PICKS, BANDS = 2, 2, 32
+#: Texts of up to EXACT words are keyed by all of their k-mers of SHORT_MER words, those of more than PLAIN also by bands. Texts of
+#: which one has at most PLAIN words are alike only if the other has at most EXACT.
+SHORT_MER, EXACT, PLAIN = 3, 48, 38
 #: Documents are linked if 1 - (word edits) / (words of the longer) is at least this.
 SIMILARITY = 0.8
 #: Counters of a text's words by hash. They never differ by more than the words do, so a pair they tell apart is apart.
 BAG = 128
-#: A bucket is compared in blocks of about this many members.
-BLOCK = 512
-#: Rounds of nearest members end when no more than this many pairs of one agreed; the round of all pairs that are left follows.
-FEW = 256
-#: Up to this distance the alignment runs along diagonals, beyond it row by row in a band.
-DIAGONALS = 200
+#: A bucket is compared in blocks of about this many members, and of about this many bytes of words.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Members of blocks up to this size are compared block by block at once.
+SMALL = 32
 
 _SEEDS, _ODD = np.random.default_rng(7).integers(1, 2**63, (2, BANDS), dtype=np.uint64) | np.array([[0], [1]], np.uint64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_LAST = np.uint64(2**64 - 1)
 
 
 def normal(text: str | None) -> bytes:
@@ -62,38 +60,65 @@ def _mers(words: np.ndarray, k: int) -> np.ndarray:
     return _mix(mer + np.uint64(k))
 
 
+def _labelled(mer: np.ndarray) -> np.ndarray:
+    """k-mers in text order, each mixed with how often it came before, so that repeated ones count as often as they stand."""
+    order = np.argsort(mer, kind="stable")
+    run = mer[order]
+    fresh = np.append(True, run[1:] != run[:-1])[: len(run)]
+    if fresh.all():
+        return mer
+    at = np.arange(len(run))
+    again = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    out = mer.copy()
+    out[order] = np.where(again > 0, _mix(run + again.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), run)
+    return out
+
+
 def bucket_keys(words: np.ndarray) -> np.ndarray:
     """Keys of a text's word hashes, of which texts that are alike share one.
 
-    Up to EXACT words they are all k-mers: of k-mers of equal length one more than there may be edits, one is left
-    whole, and of 0.2 edits a word it has SHINGLE words (2 if the longer text has 5). Longer texts have BANDS keys: with a fifth
-    of the words replaced, a quarter of the k-mers of the two together is common even if the edits are spread evenly, so the chance
-    to share none of 32 keys is at most 0.75 ** 32 = 0.0001.
+    Up to EXACT words they are all k-mers of SHORT_MER words: of k-mers of equal length one more than there may be edits, one is left
+    whole, and of 0.2 edits a word it has SHORT_MER words (2 if the longer text has 5). Longer texts have an Order MinHash: each of BANDS hashes
+    picks the PICKS smallest occurrence-labelled k-mers, and the key is those in the order of the text. Of the 2-mers of two texts
+    with a fifth of the words replaced, at least 0.43 are common even if the edits are spread evenly, so two picks agree with a chance of 0.18
+    or more and no key agrees with one of at most 0.82 ** 32 = 0.002.
     """
     n = len(words)
     keys = []
     if n <= EXACT:
-        keys += [_mers(words, SHINGLE), *([_mers(words, 2)] if 4 <= n <= 5 else [])]
+        keys += [_mers(words, SHORT_MER), *([_mers(words, 2)] if 4 <= n <= 5 else [])]
     if n > PLAIN:
-        mer = np.sort(_mers(words, SHINGLE))
-        fresh = np.append(True, mer[1:] != mer[:-1])
-        if not fresh.all():  # labelled with how often it came before, so that repeated k-mers count as often as they stand
-            at = np.arange(len(mer))
-            mer = _mix(mer + (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        step = max(1, min(BANDS, 100_000 // len(mer)))
+        mer = _labelled(_mers(words, MER))
+        step = max(1, min(BANDS, 50_000 // len(mer)))
         for at in range(0, BANDS, step):
             seeds = _SEEDS[at : at + step]
             v = (mer[None, :] ^ seeds[:, None]) * _ODD[at : at + step, None]
-            keys.append(_mix(mer[v.argmin(axis=1)] ^ seeds))
+            rows, picks = np.arange(len(seeds)), []
+            for _ in range(PICKS):
+                picks.append(v.argmin(axis=1))
+                v[rows, picks[-1]] = _LAST
+            key = seeds
+            for p in np.sort(picks, axis=0):
+                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + mer[p])
+            keys.append(key)
     return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, np.int64)
 
 
-def word_bag(words: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((words >> np.uint64(40)).astype(np.int64) % BAG, minlength=BAG), 255).astype(np.uint8).tobytes()
+def short_hashes(words: np.ndarray) -> np.ndarray:
+    """32 bits of each word's hash: what texts are aligned by."""
+    return (words >> np.uint64(32)).astype("<u4")
+
+
+def word_bag(seq: np.ndarray) -> np.ndarray:
+    return np.minimum(np.bincount((seq >> np.uint32(8)) % np.uint32(BAG), minlength=BAG), 255).astype(np.uint8)
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
-    """Edits (insert, delete, replace) between two sequences, or most + 1 if there are more. Stays within the band of `most` diagonals."""
+    """Edits (insert, delete, replace) between two sequences, or most + 1 if there are more.
+
+    Bit-parallel within the band of `most` diagonals to either side: at element j of b the bits of a whole number stand for the
+    elements j - most to j + most of a, and hold where the distance rises (up) or falls (down) from one to the next.
+    """
     lo, n, m = 0, len(a), len(b)
     while lo < n and lo < m and a[lo] == b[lo]:
         lo += 1
@@ -103,82 +128,204 @@ def edit_distance(a: list, b: list, most: int) -> int:
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return most + 1
-    if not n or not m:
-        return max(n, m)
-    # furthest row reached on each diagonal with d edits
-    reach = {0: 0}
-    while reach[0] < n and reach[0] < m and a[reach[0]] == b[reach[0]]:
-        reach[0] += 1
-    goal, prior = m - n, reach
-    for d in range(1, min(most, DIAGONALS) + 1):
-        now = {}
-        for k in range(-min(d, n), min(d, m) + 1):
-            i = max(prior.get(k, -2) + 1, prior.get(k + 1, -2) + 1, prior.get(k - 1, -2))
-            if i < 0:
-                continue
-            i = min(i, n, m - k)
-            while i < n and i + k < m and a[i] == b[i + k]:
-                i += 1
-            now[k] = i
-        if now.get(goal, -1) >= n:
-            return d
-        prior = now
-    if most <= DIAGONALS:
-        return most + 1
-    # row by row; column j of row i is kept at j - i + most
-    ids = {w: i for i, w in enumerate(dict.fromkeys(a + b))}
-    x, y = np.array([ids[w] for w in a]), np.array([ids[w] for w in b])
-    width = 2 * most + 1
-    far = np.int64(1 << 40)
-    j = np.arange(width) - most
-    row = np.where((j >= 0) & (j <= m), j, far).astype(np.int64)
-    slope = np.arange(width)
-    padded = np.full(m + 2 * width + 2, -1, np.int64)
-    padded[width : width + m] = y
-    for i in range(1, n + 1):
-        cols = j + i
-        same = padded[width + i - 1 - most : width + i - 1 - most + width] == x[i - 1]
-        best = row + np.where(same, 0, 1)
-        best[cols < 1] = far
-        best = np.minimum(best, np.append(row[1:], far) + 1)
-        if i <= most:
-            best[most - i] = i
-        best[(cols < 0) | (cols > m)] = far
-        row = np.minimum.accumulate(best - slope) + slope
-        row[(cols < 0) | (cols > m)] = far
-        if row.min() > most:
-            return most + 1
-    return int(min(row[m - n + most], most + 1))
-
-
-def similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
-    """Whether two normalised texts agree in at least `least` of the longer one's words under the best alignment."""
-    x, y = a.split(), b.split()
-    long = max(len(x), len(y))
-    most = int((1 - least) * long + 1e-9)
-    if abs(len(x) - len(y)) > most:
-        return False
-    if long - sum((Counter(x) & Counter(y)).values()) > most:  # no alignment pairs more words than the bags share
-        return False
-    return edit_distance(x, y, most) <= most
-
-
-def verify(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """lead, rep, ok of pairs (lead, rep) of ids; docs: doc_id, text. Of rows that repeat an id one text is compared."""
-    wanted = pairs.select(F.col("lead").alias("doc_id")).unionByName(pairs.select(F.col("rep").alias("doc_id"))).distinct()
-    wanted, _ = if_small(wanted)
-    texts = durable(docs.join(wanted, "doc_id", "left_semi"), "near-texts").dropDuplicates(["doc_id"])
-    both = pairs.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("b")), "rep")
-    both = both.join(texts.select(F.col("doc_id").alias("lead"), F.col("text").alias("a")), "lead").select("lead", "rep", "a", "b")
+    if not n or not m or not most:
+        return min(max(n, m), most + 1)
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    every, edge = (1 << 2 * most + 1) - 1, 1 << 2 * most
+    up, down = every ^ ((1 << most) - 1), 0
+    score = min(n, most)  # follows the lower edge of the band until it meets the end of a, then that row
+    turn = n - most
+    for j, y in enumerate(b, 1):
+        same = at.get(y, 0)
+        shift = j - most - 1
+        same = (same >> shift if shift > 0 else same << -shift) & every
+        level = ((((same & up) + up) ^ up) | same | down) & every
+        rise = down | (every & ~(level | up))
+        fall = level & up
+        if j <= turn:
+            score += not level & edge
+            if score > 3 * most + m - n:
+                return most + 1
+        else:
+            bit = 1 << n - j + most
+            score += bool(rise & bit) - bool(fall & bit)
+            if score - (m - j) > most:
+                return most + 1
+        up = fall | (every & ~(level >> 1 | rise))
+        down = level >> 1 & rise
+    return min(score, most + 1)
+
+
+def allowed(long: int, least: float) -> int:
+    return int((1 - least) * long + 1e-9)
+
+
+def similar(x: list, y: list, least: float = SIMILARITY) -> bool:
+    """Whether two sequences of words agree in at least `least` of the longer one under the best alignment."""
+    most = allowed(max(len(x), len(y)), least)
+    return abs(len(x) - len(y)) <= most and edit_distance(x, y, most) <= most
+
+
+def _told_apart(words_a, words_b, bags_a, bags_b, least: float):
+    """Of rows of two tables side by side: whether sizes or bags show more edits than are allowed, and how far the bags are apart."""
+    long, both = np.maximum(words_a, words_b), words_a + words_b
+    most = ((1 - least) * long + 1e-9).astype(np.int64)
+    apart = (np.maximum(bags_a, bags_b) - np.minimum(bags_a, bags_b)).sum(axis=1, dtype=np.int32)
+    return (2 * long - both > most) | (apart > both - 2 * (long - most)), apart
+
+
+def open_pairs(words, bags, ends, upper, alone, label, least: float):
+    """Yields (i, j, apart): rows of one block, of different labels, that are not told apart; each pair once.
+
+    Rows stand block by block, blocks end at `ends`. A block that is not `alone` pairs its upper rows with the others only.
+    """
+    starts = np.append(0, ends[:-1])
+    sizes = ends - starts
+    block = np.repeat(np.arange(len(ends)), sizes)
+    small = np.flatnonzero((alone & (sizes <= SMALL))[block]) if len(ends) else np.empty(0, np.int64)
+    for step in range(1, int(sizes[block[small]].max()) if len(small) else 0):
+        i = small[small + step < len(block)]
+        j = i + step
+        keep = (block[i] == block[j]) & (label[i] != label[j])
+        i, j = i[keep], j[keep]
+        for cut in range(0, len(i), 16_384):
+            p, q = i[cut : cut + 16_384], j[cut : cut + 16_384]
+            told, apart = _told_apart(words[p], words[q], bags[p], bags[q], least)
+            yield p[~told], q[~told], apart[~told]
+    for k in np.flatnonzero(~(alone & (sizes <= SMALL))):
+        rows = np.arange(starts[k], ends[k])
+        a, b = (rows, rows) if alone[k] else (rows[~upper[rows]], rows[upper[rows]])
+        if not len(a) or not len(b):
+            continue
+        names, count = np.unique(label[rows], return_counts=True)
+        if len(names) == 1:
+            continue
+        main = names[count.argmax()]  # a pair of different labels has a row outside the main one
+        for x, y, met in ((a[label[a] != main], b, False), (b[label[b] != main], a[label[a] == main], True)) if not alone[k] else ((a[label[a] != main], b, False),):
+            for at in range(0, len(x), 64):
+                z = x[at : at + 64]
+                fit = np.abs(words[z][:, None] - words[y][None, :]) <= (1 - least) * np.maximum(words[z][:, None], words[y][None, :]) + 1e-9
+                fit &= label[z][:, None] != label[y][None, :]
+                if alone[k]:
+                    fit &= (label[y] == main)[None, :] | (z[:, None] < y[None, :])
+                i, j = np.nonzero(fit)
+                for cut in range(0, len(i), 16_384):
+                    p, q = z[i[cut : cut + 16_384]], y[j[cut : cut + 16_384]]
+                    told, apart = _told_apart(words[p], words[q], bags[p], bags[q], least)
+                    yield p[~told], q[~told], apart[~told]
+
+
+def _blocks(batches, columns: list[str]):
+    """Tables of whole blocks (rows that agree in `columns`, which the batches are sorted by), with the ends of the blocks."""
+    kept = None
+    for batch in batches:
+        here = pa.Table.from_batches([batch])
+        kept = here if kept is None else pa.concat_tables([kept, here])
+        ids = np.stack([kept.column(c).to_numpy().astype(np.int64) for c in columns])
+        ends = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
+        if len(ends):  # the last block may go on in the next batch
+            yield kept.slice(0, ends[-1]), ends
+            kept = kept.slice(ends[-1])
+    if kept is not None and kept.num_rows:
+        yield kept, np.array([kept.num_rows])
+
+
+def _names(table, column: str) -> np.ndarray:
+    """A column of 16-byte names as an array of them."""
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), "S16")
+
+
+def _flags(table, column: str) -> np.ndarray:
+    return np.array(table.column(column).to_pylist(), bool)
+
+
+def neighbours(members: DataFrame, least: float) -> DataFrame:
+    """key, lo, hi, upper, node, words, lead of the members of a bucket that have others in a block which sizes and bags don't tell apart.
+
+    members: key, n (size of the bucket), node (16 bytes), n_words, bag. lead is the smallest such other; names are hashes, so the members of a group of
+    near copies agree on one. A bucket is dealt out as pairs of blocks. One row for a member and block, however many pairs there are.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.withColumn("_own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), (F.col("_own") > F.col("_other")).alias("upper"), "node", "n_words", "bag")
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    kept = ["key", "lo", "hi", "upper", "node", "n_words"]
+
+    def run(batches):
+        for table, ends in _blocks(batches, ["key", "lo", "hi"]):
+            n = table.num_rows
+            lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
+            rank = np.array(table.column("node").to_pylist(), object).argsort().argsort()
+            words, bags = table.column("n_words").to_numpy().astype(np.int64), np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BAG)
+            first = ends - 1
+            best = np.full(n, n, np.int64)
+            for i, j, _ in open_pairs(words, bags, ends, _flags(table, "upper"), lo[first] == hi[first], np.arange(n), least):
+                np.minimum.at(best, i, rank[j])
+                np.minimum.at(best, j, rank[i])
+            found = np.flatnonzero(best < n)
+            where = np.empty(n, np.int64)
+            where[rank] = np.arange(n)
+            lead = table.column("node").take(pa.array(where[best[found]]))
+            for batch in table.select(kept).take(pa.array(found)).append_column("lead", lead).to_batches(max_chunksize=4096):
+                yield batch
+
+    return dealt.mapInArrow(run, "key long, lo int, hi int, upper boolean, node binary, n_words int, lead binary")
+
+
+def verify(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """a, b of the pairs (a, b) of nodes that are similar. words: node, seq."""
+    both = pairs.join(words.select(F.col("node").alias("a"), F.col("seq").alias("_x")), "a").join(words.select(F.col("node").alias("b"), F.col("seq").alias("_y")), "b")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 p = batch.slice(at, 256)
-                ok = [similar(normal(a), normal(b), least) for a, b in zip(p.column("a").to_pylist(), p.column("b").to_pylist())]
-                yield pa.RecordBatch.from_arrays([p.column("lead"), p.column("rep"), pa.array(ok, pa.bool_())], ["lead", "rep", "ok"])
+                ok = [similar(np.frombuffer(x, "<u4").tolist(), np.frombuffer(y, "<u4").tolist(), least) for x, y in zip(p.column("_x").to_pylist(), p.column("_y").to_pylist())]
+                yield p.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.select("a", "b", "_x", "_y").mapInArrow(run, "a binary, b binary")
+
 
-    return both.mapInArrow(run, "lead long, rep long, ok boolean")
+def join_blocks(members: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """a, b: links between members of a block that carry different labels; as many as join all that alignment shows to be connected.
+
+    members: key, lo, hi, upper, node, n_words, label. Of the pairs of a block the nearest by their bags are aligned first, and a pair that is connected by then is
+    not aligned, so no more links come out than a block has members, and none between two labels is passed over. Blocks with the same
+    members are done once. Blocks are divided again where their words are many.
+    """
+    at = ["key", "lo", "hi"]
+    sums = members.groupBy(*at).agg(F.min("label").alias("_least"), F.max("label").alias("_most"), F.bit_xor(F.xxhash64("node", "upper")).alias("_one"), F.bit_xor(F.xxhash64("upper", "node")).alias("_two"), F.count("*").alias("_n"), F.sum("n_words").alias("_words"), (F.col("lo") == F.col("hi")).alias("_alone"))
+    sums = sums.where("_least != _most").groupBy("_one", "_two", "_n", "_words", "_alone").agg(F.min(F.struct(*at)).alias("at"))
+    sums = sums.select("at.*", F.greatest(F.lit(1), F.ceil(F.col("_words") * 4 / BLOCK_BYTES)).cast("int").alias("_cuts"))
+    rows = members.join(if_small(durable(sums, "near-blocks"))[0], at)
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("_cuts")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
+    alone = F.col("lo") == F.col("hi")
+    # a block cut in parts: pairs of parts, with sides by part if the block was one, else each upper part with each other
+    rows = rows.select(F.xxhash64(*at).alias("key"), F.when(alone, F.least("_own", "_other")).when(F.col("upper"), F.col("_other")).otherwise(F.col("_own")).alias("lo"),
+                       F.when(alone, F.greatest("_own", "_other")).when(F.col("upper"), F.col("_own")).otherwise(F.col("_other")).alias("hi"),
+                       F.when(alone, F.col("_own") > F.col("_other")).otherwise(F.col("upper")).alias("upper"), alone.alias("one"), "node", "label")
+    rows = rows.join(words, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def run(batches):
+        for table, ends in _blocks(batches, ["key", "lo", "hi"]):
+            node = table.column("node").to_pylist()
+            seqs = [np.frombuffer(x, "<u4") for x in table.column("seq").to_pylist()]
+            label = np.unique(_names(table, "label"), return_inverse=True)[1]
+            lo, hi, one = table.column("lo").to_numpy(), table.column("hi").to_numpy(), _flags(table, "one")
+            first = ends - 1
+            a, b = [], []
+            for i, j, apart in open_pairs(np.array([len(s) for s in seqs], np.int64), np.stack([word_bag(s) for s in seqs]), ends, _flags(table, "upper"), one[first] & (lo[first] == hi[first]), label, least):
+                for k in np.argsort(apart, kind="stable").tolist():
+                    p, q = int(i[k]), int(j[k])
+                    if label[p] != label[q] and similar(seqs[p].tolist(), seqs[q].tolist(), least):
+                        label[label == label[q]] = label[p]
+                        a.append(node[p])
+                        b.append(node[q])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,143 +358,76 @@ def components(edges: DataFrame) -> DataFrame:
             return total
 
 
-def candidates(members: DataFrame, least: float, nearest: bool) -> DataFrame:
-    """rep, lead, apart of members of one bucket that differ in label and that word counts and bags don't tell apart.
-
-    members: key, n (size of the bucket), rep, label, n_words, bag. With `nearest`, for each member the one of each block whose bag is
-    nearest, else all, each once. A bucket is dealt out as pairs of blocks; pairs that are told apart never become rows.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("_own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), (F.col("_own") > F.col("_other")).alias("upper"), "rep", "label", "n_words", "bag")
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-
-    def meet(rep, label, words, bags, upper, alone):
-        a = np.arange(len(rep)) if alone else np.flatnonzero(~upper)
-        b = a if alone else np.flatnonzero(upper)
-        if not len(a) or not len(b) or (label == label[0]).all():
-            return
-        far = np.int32(2**31 - 1)
-        best, which = np.full(len(rep), far), np.zeros(len(rep), np.int64)
-        for at in range(0, len(a), 64):
-            x = a[at : at + 64]
-            long = np.maximum(words[x][:, None], words[b][None, :])
-            both = words[x][:, None] + words[b][None, :]
-            most = ((1 - least) * long + 1e-9).astype(np.int64)
-            open_ = (label[x][:, None] != label[b][None, :]) & (2 * long - both <= most)
-            if alone and not nearest:
-                open_ &= x[:, None] < b[None, :]
-            i, j = np.nonzero(open_)
-            for cut in range(0, len(i), 16_384):
-                p, q = i[cut : cut + 16_384], j[cut : cut + 16_384]
-                one, two = bags[x[p]], bags[b[q]]
-                apart = (np.maximum(one, two) - np.minimum(one, two)).sum(axis=1, dtype=np.int32)
-                fit = apart <= both[p, q] - 2 * (long[p, q] - most[p, q])
-                p, q, apart = x[p[fit]], b[q[fit]], apart[fit]
-                if not nearest:
-                    yield rep[p], rep[q], apart
-                    continue
-                for me, you in ((p, q), (q, p)):
-                    order = np.lexsort((rep[you], apart, me))
-                    m, y, d = me[order], you[order], apart[order]
-                    first = np.append(True, m[1:] != m[:-1])[: len(m)]
-                    m, y, d = m[first], y[first], d[first]
-                    closer = d < best[m]
-                    best[m[closer]], which[m[closer]] = d[closer], y[closer]
-        if nearest:
-            found = np.flatnonzero(best < far)
-            yield rep[found], rep[which[found]], best[found]
-
-    def run(batches):
-        kept = None
-
-        def groups():
-            nonlocal kept
-            for batch in batches:
-                here = pa.Table.from_batches([batch])
-                kept = here if kept is None else pa.concat_tables([kept, here])
-                ids = np.stack([kept.column(c).to_numpy().astype(np.int64) for c in ("key", "lo", "hi")])
-                ends = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
-                if len(ends):  # the last group may go on in the next batch
-                    yield kept.slice(0, ends[-1]), ends
-                    kept = kept.slice(ends[-1])
-            if kept is not None and kept.num_rows:
-                yield kept, np.array([kept.num_rows])
-
-        for table, ends in groups():
-            rep, label, words, lo, hi = (table.column(c).to_numpy() for c in ("rep", "label", "n_words", "lo", "hi"))
-            words = words.astype(np.int64)
-            upper = np.array(table.column("upper").to_pylist(), bool)
-            bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BAG)
-            out, start = [], 0
-            for end in ends:
-                g = slice(start, end)
-                out += meet(rep[g], label[g], words[g], bags[g], upper[g], lo[start] == hi[start])
-                start = end
-            for at in range(0, len(out), 4096):
-                x, y, d = (np.concatenate(c) for c in zip(*out[at : at + 4096]))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(d, pa.int32())], ["rep", "lead", "apart"])
-
-    return dealt.mapInArrow(run, "rep long, lead long, apart int")
-
-
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, class_id, cluster_id, kept.
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", with_md5: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, cluster_id, kept (and text_md5, 16 bytes, with with_md5).
 
     class_id is the smallest id with the same words (ASCII lower case, any white space); cluster_id the smallest id that is
-    connected by links between classes; kept marks that document (all its rows, if rows repeat an id). Two classes are linked if they share a
+    connected by links between classes; kept marks that document (all its rows, if rows repeat an id with its words). Two classes are linked if they share a
     key and their words align with similarity `least` (0.8 or more) or more. Texts of fewer than 4 words, empty and null ones are linked by
-    equality alone. A null id is in the class of its text, never kept beside other ids. An empty table gives no rows. Other columns are ignored.
+    equality alone. Classes are told by their words, so rows that repeat an id with other words are documents of their own. A null id is in the class of its
+    text, never kept beside other ids. An empty table gives no rows. Other columns are ignored.
 
-    Copies are reduced to one representative before any pairing. In rounds each member is aligned with the one of another group whose bag of words
-    is nearest over its buckets, which joins most groups; then every pair of a bucket that is not yet connected, and that word counts and bags
-    don't tell apart, is aligned, so no link between members is passed over. Links, labels and texts stay distributed.
+    Copies are reduced to one class before any pairing. A member of a bucket is first aligned with one other that sizes and bags of words
+    don't tell from it, the same for all of a group, which joins most groups. Then the blocks whose members are not yet all connected are
+    gone through pair by pair within a task, so no link between members is passed over and no more rows are made than there are members.
+    Links, labels and words stay distributed.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_md5"), text.alias("text"))
 
     def sketch(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                p = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                p = batch.slice(at, 256)
                 raw = [normal(t) for t in p.column("text").to_pylist()]
                 words = [word_hashes(r) for r in raw]
-                yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array([bucket_keys(w) for w in words], pa.list_(pa.int64())),
-                                                  pa.array([len(w) for w in words], pa.int32()), pa.array([word_bag(w) for w in words], pa.binary())], ["doc_id", "digest", "keys", "n_words", "bag"])
-
-    base = durable(rows.mapInArrow(sketch, "doc_id long, digest binary, keys array<long>, n_words int, bag binary"), "near-sketch")
-    classes = durable(base.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-classes")
-    reps = base.join(classes.where("rep is not null").select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    keyed = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
-    shared, _ = if_small(durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets"))
-    bags = reps.select(F.col("doc_id").alias("rep"), "n_words", "bag")
-    members = durable(keyed.join(shared, "key").join(bags, "rep").withColumn("label", F.col("rep")), "near-members")
-    label, tested, nearest, more = None, None, True, True
-    while more:
-        if label is not None:
-            known = if_small(label.select(F.col("node").alias("rep"), F.col("label").alias("_label")))[0]
-            members = members.join(known, "rep", "left").withColumn("label", F.coalesce("_label", "label")).drop("_label")
-        found = candidates(members, least, nearest)
-        if nearest:
-            found = found.groupBy("rep").agg(F.min(F.struct("apart", "lead")).alias("m")).select("rep", "m.lead")
-        pairs = found.select(F.least("lead", "rep").alias("lead"), F.greatest("lead", "rep").alias("rep")).distinct()
-        if tested is not None:  # a pair is aligned once
-            pairs = pairs.join(tested.select("lead", "rep"), ["lead", "rep"], "left_anti")
-        done = durable(verify(rows, durable(pairs, "near-pairs"), least), "near-verified")
-        tested = done if tested is None else tested.unionByName(done)
-        more, nearest = nearest, nearest and done.where("ok").count() > FEW  # the last round takes all pairs
-        label = components(tested.where("ok").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
-    out = base.select("doc_id", "digest").join(classes, "digest")
-    if label is None:
-        out = out.withColumn("label", F.col("rep"))
-    else:
-        out = out.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    cluster = F.coalesce("label", "rep")
-    return out.select("doc_id", F.col("rep").alias("class_id"), cluster.alias("cluster_id"), F.col("doc_id").eqNullSafe(cluster).alias("kept"))
+                yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("text_md5"), pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array([bucket_keys(w) for w in words], pa.list_(pa.int64())),
+                                                  pa.array([len(w) for w in words], pa.int32()), pa.array([word_bag(short_hashes(w)).tobytes() for w in words], pa.binary())], ["doc_id", "text_md5", "node", "keys", "n_words", "bag"])
+
+    base = durable(rows.mapInArrow(sketch, "doc_id long, text_md5 binary, node binary, keys array<long>, n_words int, bag binary"), "near-sketch")
+    one = [F.first(c).alias(c) for c in ("keys", "n_words", "bag")]  # equal in all rows of a class
+    classes = durable(base.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.min("text_md5").alias("text_md5"), *one), "near-classes")
+    keyed = classes.select("node", F.explode("keys").alias("key"))
+    shared = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
+    members = keyed.join(if_small(shared)[0], "key").join(classes.select("node", "n_words", "bag"), "node")
+    near = durable(neighbours(members, least), "near-open")
+    # one pair for each member: with the smallest name over all its buckets, which a group of near copies has in common
+    pairs = near.groupBy("node").agg(F.min("lead").alias("lead")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    pairs = durable(pairs, "near-pairs")
+    wanted = near.select("node").distinct().join(classes.select("node", "text_md5"), "node").select("node", "text_md5")
+    words = durable(words_of(rows, durable(wanted, "near-wanted")), "near-words")
+    links = durable(verify(pairs, words, least), "near-links")
+    label = components(links)
+    named = near.drop("lead").join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("_node")
+    more = durable(join_blocks(durable(named, "near-named"), words, least).distinct(), "near-links")
+    if not more.isEmpty():
+        label = components(links.unionByName(more))
+    known = classes.select("node", "class_id").join(label, "node", "left").select("node", "class_id", F.coalesce("label", "node").alias("label"))
+    first = F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "node")).alias("first")  # the smallest id, null last
+    groups = known.join(label.select("label").distinct(), "label", "left_semi").groupBy("label").agg(first).select("label", "first.*")
+    groups = groups.select("label", F.col("class_id").alias("cluster_id"), F.col("node").alias("keeper"))
+    known = known.join(groups, "label", "left")
+    answer = durable(known.select("node", "class_id", F.when(F.col("keeper").isNull(), F.col("class_id")).otherwise(F.col("cluster_id")).alias("cluster_id"), (F.coalesce("keeper", "node") == F.col("node")).alias("keeps")), "near-answer")
+    out = base.select("doc_id", "text_md5", "node").join(answer, "node")
+    forget(classes, shared, near, pairs, words, links, more)
+    return out.select("doc_id", "class_id", "cluster_id", (F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"), *(["text_md5"] if with_md5 else []))
+
+
+def words_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, seq (32 bits of each word's hash) of the wanted classes (node, text_md5), from one row of each; rows: text_md5, text."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                p = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([p.column("node"), pa.array([short_hashes(word_hashes(normal(t))).tobytes() for t in p.column("text").to_pylist()], pa.binary())], ["node", "seq"])
+
+    there = rows.select("text_md5", "text").join(if_small(wanted)[0], "text_md5").select("node", "text")
+    return there.mapInArrow(run, "node binary, seq binary").groupBy("node").agg(F.first("seq").alias("seq"))
 
 
 def brute_force(texts: dict[int, str | None], least: float = SIMILARITY) -> dict[int, int]:
     """cluster_id by comparing all pairs of texts: for tests."""
-    raw = {i: normal(t) for i, t in texts.items()}
+    raw = {i: normal(t).split() for i, t in texts.items()}
     parent = {i: i for i in texts}
 
     def root(i):
@@ -358,7 +438,7 @@ def brute_force(texts: dict[int, str | None], least: float = SIMILARITY) -> dict
     ids = sorted(texts)
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
-            if raw[i] == raw[j] or similar(raw[i], raw[j], least):
+            if root(i) != root(j) and (raw[i] == raw[j] or similar(raw[i], raw[j], least)):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: root(i) for i in ids}
