@@ -20,8 +20,10 @@ SIMILARITY = 0.8
 BAG = 128
 #: A bucket is compared in blocks of about this many members, and of about this many bytes of words.
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
-#: Members of blocks up to this size are compared block by block at once.
+#: Blocks of up to this many members are compared many at once.
 SMALL = 32
+#: Counters of a bag where words are at hand: nearly all that differs shows.
+WIDE_BAG = 1024
 
 _SEEDS, _ODD = np.random.default_rng(7).integers(1, 2**63, (2, BANDS), dtype=np.uint64) | np.array([[0], [1]], np.uint64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -84,24 +86,31 @@ def bucket_keys(words: np.ndarray) -> np.ndarray:
     or more and no key agrees with one of at most 0.82 ** 32 = 0.002.
     """
     n = len(words)
-    keys = []
+    keys = [band_keys(words)]
     if n <= EXACT:
-        keys += [_mers(words, SHORT_MER), *([_mers(words, 2)] if 4 <= n <= 5 else [])]
-    if n > PLAIN:
-        mer = _labelled(_mers(words, MER))
-        step = max(1, min(BANDS, 50_000 // len(mer)))
-        for at in range(0, BANDS, step):
-            seeds = _SEEDS[at : at + step]
-            v = (mer[None, :] ^ seeds[:, None]) * _ODD[at : at + step, None]
-            rows, picks = np.arange(len(seeds)), []
-            for _ in range(PICKS):
-                picks.append(v.argmin(axis=1))
-                v[rows, picks[-1]] = _LAST
-            key = seeds
-            for p in np.sort(picks, axis=0):
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + mer[p])
-            keys.append(key)
-    return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, np.int64)
+        keys += [np.unique(_mers(words, SHORT_MER)), *([np.unique(_mers(words, 2))] if 4 <= n <= 5 else [])]
+    return np.concatenate(keys).view(np.int64)
+
+
+def band_keys(words: np.ndarray) -> np.ndarray:
+    """The key of each band, for texts of more than PLAIN words."""
+    if len(words) <= PLAIN:
+        return np.empty(0, np.uint64)
+    mer = _labelled(_mers(words, MER))
+    keys = []
+    step = max(1, min(BANDS, 50_000 // len(mer)))
+    for at in range(0, BANDS, step):
+        seeds = _SEEDS[at : at + step]
+        v = (mer[None, :] ^ seeds[:, None]) * _ODD[at : at + step, None]
+        rows, picks = np.arange(len(seeds)), []
+        for _ in range(PICKS):
+            picks.append(v.argmin(axis=1))
+            v[rows, picks[-1]] = _LAST
+        key = seeds
+        for p in np.sort(picks, axis=0):
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + mer[p])
+        keys.append(key)
+    return np.concatenate(keys)
 
 
 def short_hashes(words: np.ndarray) -> np.ndarray:
@@ -109,8 +118,8 @@ def short_hashes(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(32)).astype("<u4")
 
 
-def word_bag(seq: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((seq >> np.uint32(8)) % np.uint32(BAG), minlength=BAG), 255).astype(np.uint8)
+def word_bag(seq: np.ndarray, counters: int = BAG) -> np.ndarray:
+    return np.minimum(np.bincount((seq >> np.uint32(8)) % np.uint32(counters), minlength=counters), 255).astype(np.uint8)
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
@@ -181,6 +190,7 @@ def open_pairs(words, bags, ends, upper, alone, label, least: float):
 
     Rows stand block by block, blocks end at `ends`. A block that is not `alone` pairs its upper rows with the others only.
     """
+    chunk = 2_097_152 // bags.shape[1]
     starts = np.append(0, ends[:-1])
     sizes = ends - starts
     block = np.repeat(np.arange(len(ends)), sizes)
@@ -190,8 +200,8 @@ def open_pairs(words, bags, ends, upper, alone, label, least: float):
         j = i + step
         keep = (block[i] == block[j]) & (label[i] != label[j])
         i, j = i[keep], j[keep]
-        for cut in range(0, len(i), 16_384):
-            p, q = i[cut : cut + 16_384], j[cut : cut + 16_384]
+        for cut in range(0, len(i), chunk):
+            p, q = i[cut : cut + chunk], j[cut : cut + chunk]
             told, apart = _told_apart(words[p], words[q], bags[p], bags[q], least)
             yield p[~told], q[~told], apart[~told]
     for k in np.flatnonzero(~(alone & (sizes <= SMALL))):
@@ -202,17 +212,17 @@ def open_pairs(words, bags, ends, upper, alone, label, least: float):
         names, count = np.unique(label[rows], return_counts=True)
         if len(names) == 1:
             continue
-        main = names[count.argmax()]  # a pair of different labels has a row outside the main one
-        for x, y, met in ((a[label[a] != main], b, False), (b[label[b] != main], a[label[a] == main], True)) if not alone[k] else ((a[label[a] != main], b, False),):
+        main = label == names[count.argmax()]  # a pair of different labels has a row outside the main one; labels may change meanwhile
+        for x, y in ((a[~main[a]], b),) if alone[k] else ((a[~main[a]], b), (b[~main[b]], a[main[a]])):
             for at in range(0, len(x), 64):
                 z = x[at : at + 64]
                 fit = np.abs(words[z][:, None] - words[y][None, :]) <= (1 - least) * np.maximum(words[z][:, None], words[y][None, :]) + 1e-9
                 fit &= label[z][:, None] != label[y][None, :]
                 if alone[k]:
-                    fit &= (label[y] == main)[None, :] | (z[:, None] < y[None, :])
+                    fit &= main[y][None, :] | (z[:, None] < y[None, :])
                 i, j = np.nonzero(fit)
-                for cut in range(0, len(i), 16_384):
-                    p, q = z[i[cut : cut + 16_384]], y[j[cut : cut + 16_384]]
+                for cut in range(0, len(i), chunk):
+                    p, q = z[i[cut : cut + chunk]], y[j[cut : cut + chunk]]
                     told, apart = _told_apart(words[p], words[q], bags[p], bags[q], least)
                     yield p[~told], q[~told], apart[~told]
 
@@ -291,35 +301,46 @@ def verify(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
 def join_blocks(members: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """a, b: links between members of a block that carry different labels; as many as join all that alignment shows to be connected.
 
-    members: key, lo, hi, upper, node, n_words, label. Of the pairs of a block the nearest by their bags are aligned first, and a pair that is connected by then is
-    not aligned, so no more links come out than a block has members, and none between two labels is passed over. Blocks with the same
-    members are done once. Blocks are divided again where their words are many.
+    members: key, lo, hi, upper, node, n_words, label; words: node, seq, bands. Of the pairs of a block the nearest by their bags are aligned first, and a
+    pair that is connected by then is not aligned, so no more links come out than a block has members, and none between two labels is passed over.
+    Small blocks with the same members are done once; in others a pair is left to the block of the first band that both texts share.
+    Blocks are divided where their words are many.
     """
     at = ["key", "lo", "hi"]
-    sums = members.groupBy(*at).agg(F.min("label").alias("_least"), F.max("label").alias("_most"), F.bit_xor(F.xxhash64("node", "upper")).alias("_one"), F.bit_xor(F.xxhash64("upper", "node")).alias("_two"), F.count("*").alias("_n"), F.sum("n_words").alias("_words"), (F.col("lo") == F.col("hi")).alias("_alone"))
-    sums = sums.where("_least != _most").groupBy("_one", "_two", "_n", "_words", "_alone").agg(F.min(F.struct(*at)).alias("at"))
-    sums = sums.select("at.*", F.greatest(F.lit(1), F.ceil(F.col("_words") * 4 / BLOCK_BYTES)).cast("int").alias("_cuts"))
+    alone = F.col("lo") == F.col("hi")
+    sums = members.groupBy(*at).agg(F.min("label").alias("_least"), F.max("label").alias("_most"), F.bit_xor(F.xxhash64("node", "upper")).alias("_one"), F.bit_xor(F.xxhash64("upper", "node")).alias("_two"), F.count("*").alias("_n"), F.sum("n_words").alias("_words"))
+    sums = sums.where("_least != _most").groupBy("_one", "_two", "_n", "_words", alone.alias("_alone"), F.when(F.col("_n") > SMALL, F.struct(*at)).alias("_large")).agg(F.min(F.struct(*at)).alias("at"))
+    sums = sums.select("at.*", (F.col("_n") > SMALL).alias("large"), F.greatest(F.lit(1), F.ceil(F.col("_words") * 4 / BLOCK_BYTES)).cast("int").alias("_cuts"))
     rows = members.join(if_small(durable(sums, "near-blocks"))[0], at)
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("_cuts")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
-    alone = F.col("lo") == F.col("hi")
     # a block cut in parts: pairs of parts, with sides by part if the block was one, else each upper part with each other
-    rows = rows.select(F.xxhash64(*at).alias("key"), F.when(alone, F.least("_own", "_other")).when(F.col("upper"), F.col("_other")).otherwise(F.col("_own")).alias("lo"),
+    rows = rows.select(F.xxhash64(*at).alias("block"), F.when(alone, F.least("_own", "_other")).when(F.col("upper"), F.col("_other")).otherwise(F.col("_own")).alias("lo"),
                        F.when(alone, F.greatest("_own", "_other")).when(F.col("upper"), F.col("_own")).otherwise(F.col("_other")).alias("hi"),
-                       F.when(alone, F.col("_own") > F.col("_other")).otherwise(F.col("upper")).alias("upper"), alone.alias("one"), "node", "label")
-    rows = rows.join(words, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+                       F.when(alone, F.col("_own") > F.col("_other")).otherwise(F.col("upper")).alias("upper"), alone.alias("one"), "large", "key", "node", "label")
+    rows = rows.join(words, "node").repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi")
 
     def run(batches):
-        for table, ends in _blocks(batches, ["key", "lo", "hi"]):
-            node = table.column("node").to_pylist()
+        for table, ends in _blocks(batches, ["block", "lo", "hi"]):
+            node, n = table.column("node").to_pylist(), table.num_rows
             seqs = [np.frombuffer(x, "<u4") for x in table.column("seq").to_pylist()]
+            lists: list = [None] * n
             label = np.unique(_names(table, "label"), return_inverse=True)[1]
-            lo, hi, one = table.column("lo").to_numpy(), table.column("hi").to_numpy(), _flags(table, "one")
+            lo, hi, one, large, key = table.column("lo").to_numpy(), table.column("hi").to_numpy(), _flags(table, "one"), _flags(table, "large"), table.column("key").to_numpy()
+            # texts without bands share none
+            bands = np.stack([np.frombuffer(x, "<i8") if x else np.full(BANDS, -1 - k, np.int64) for k, x in enumerate(table.column("bands").to_pylist())])
             first = ends - 1
             a, b = [], []
-            for i, j, apart in open_pairs(np.array([len(s) for s in seqs], np.int64), np.stack([word_bag(s) for s in seqs]), ends, _flags(table, "upper"), one[first] & (lo[first] == hi[first]), label, least):
+            for i, j, apart in open_pairs(np.array([len(s) for s in seqs], np.int64), np.stack([word_bag(s, WIDE_BAG) for s in seqs]), ends, _flags(table, "upper"), one[first] & (lo[first] == hi[first]), label, least):
+                same = bands[i] == bands[j]
+                own = ~large[i] | ~same.any(axis=1) | (bands[i, same.argmax(axis=1)] == key[i])
+                i, j, apart = i[own], j[own], apart[own]
                 for k in np.argsort(apart, kind="stable").tolist():
                     p, q = int(i[k]), int(j[k])
-                    if label[p] != label[q] and similar(seqs[p].tolist(), seqs[q].tolist(), least):
+                    if label[p] == label[q]:
+                        continue
+                    for x in (p, q):
+                        lists[x] = lists[x] or seqs[x].tolist()
+                    if similar(lists[p], lists[q], least):
                         label[label == label[q]] = label[p]
                         a.append(node[p])
                         b.append(node[q])
@@ -385,17 +406,21 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
                                                   pa.array([len(w) for w in words], pa.int32()), pa.array([word_bag(short_hashes(w)).tobytes() for w in words], pa.binary())], ["doc_id", "text_md5", "node", "keys", "n_words", "bag"])
 
     base = durable(rows.mapInArrow(sketch, "doc_id long, text_md5 binary, node binary, keys array<long>, n_words int, bag binary"), "near-sketch")
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")).alias("row")  # the smallest id, null last
     one = [F.first(c).alias(c) for c in ("keys", "n_words", "bag")]  # equal in all rows of a class
-    classes = durable(base.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.min("text_md5").alias("text_md5"), *one), "near-classes")
-    keyed = classes.select("node", F.explode("keys").alias("key"))
-    shared = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
-    members = keyed.join(if_small(shared)[0], "key").join(classes.select("node", "n_words", "bag"), "node")
+    classes = durable(base.groupBy("node").agg(least_row, *one).select("node", F.xxhash64("node").alias("name"), F.col("row.doc_id").alias("class_id"), F.col("row.text_md5").alias("text_md5"), "keys", "n_words", "bag"), "near-classes")
+    # by short names: should two classes share one, a bucket gets a member too many
+    keyed = classes.select("name", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = keyed.join(shared, "key").join(classes.select("name", "node", "n_words", "bag"), "name").drop("name")
     near = durable(neighbours(members, least), "near-open")
     # one pair for each member: with the smallest name over all its buckets, which a group of near copies has in common
     pairs = near.groupBy("node").agg(F.min("lead").alias("lead")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     pairs = durable(pairs, "near-pairs")
-    wanted = near.select("node").distinct().join(classes.select("node", "text_md5"), "node").select("node", "text_md5")
-    words = durable(words_of(rows, durable(wanted, "near-wanted")), "near-words")
+    wanted = durable(near.select("node").distinct().join(classes, "node").select("node", "class_id", "text_md5"), "near-wanted")
+    words = durable(words_of(rows, wanted), "near-words")
+    if words.count() > wanted.count():  # rows that repeat an id with its text
+        words = durable(words.groupBy("node").agg(F.first("seq").alias("seq"), F.first("bands").alias("bands")), "near-words")
     links = durable(verify(pairs, words, least), "near-links")
     label = components(links)
     named = near.drop("lead").join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("_node")
@@ -403,26 +428,28 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     if not more.isEmpty():
         label = components(links.unionByName(more))
     known = classes.select("node", "class_id").join(label, "node", "left").select("node", "class_id", F.coalesce("label", "node").alias("label"))
-    first = F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "node")).alias("first")  # the smallest id, null last
+    first = F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "node")).alias("first")
     groups = known.join(label.select("label").distinct(), "label", "left_semi").groupBy("label").agg(first).select("label", "first.*")
     groups = groups.select("label", F.col("class_id").alias("cluster_id"), F.col("node").alias("keeper"))
     known = known.join(groups, "label", "left")
     answer = durable(known.select("node", "class_id", F.when(F.col("keeper").isNull(), F.col("class_id")).otherwise(F.col("cluster_id")).alias("cluster_id"), (F.coalesce("keeper", "node") == F.col("node")).alias("keeps")), "near-answer")
     out = base.select("doc_id", "text_md5", "node").join(answer, "node")
-    forget(classes, shared, near, pairs, words, links, more)
+    forget(classes, near, pairs, wanted, words, links, more)
     return out.select("doc_id", "class_id", "cluster_id", (F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"), *(["text_md5"] if with_md5 else []))
 
 
 def words_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, seq (32 bits of each word's hash) of the wanted classes (node, text_md5), from one row of each; rows: text_md5, text."""
+    """node, seq (32 bits of each word's hash), bands (keys) of the wanted classes (node, class_id, text_md5), from the rows (doc_id, text_md5, text) that they name."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 p = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([p.column("node"), pa.array([short_hashes(word_hashes(normal(t))).tobytes() for t in p.column("text").to_pylist()], pa.binary())], ["node", "seq"])
+                words = [word_hashes(normal(t)) for t in p.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([p.column("node"), pa.array([short_hashes(w).tobytes() for w in words], pa.binary()), pa.array([band_keys(w).astype("<u8").tobytes() for w in words], pa.binary())], ["node", "seq", "bands"])
 
-    there = rows.select("text_md5", "text").join(if_small(wanted)[0], "text_md5").select("node", "text")
-    return there.mapInArrow(run, "node binary, seq binary").groupBy("node").agg(F.first("seq").alias("seq"))
+    small, _ = if_small(wanted.withColumnRenamed("text_md5", "_md5"))
+    there = rows.join(small, F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_md5") == F.col("_md5"))).select("node", "text")
+    return there.mapInArrow(run, "node binary, seq binary, bands binary")
 
 
 def brute_force(texts: dict[int, str | None], least: float = SIMILARITY) -> dict[int, int]:
