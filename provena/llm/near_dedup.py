@@ -251,24 +251,17 @@ def _flags(table, column: str) -> np.ndarray:
     return np.array(table.column(column).to_pylist(), bool)
 
 
-def neighbours(members: DataFrame, least: float) -> DataFrame:
-    """key, lo, hi, upper, node, words, lead of the members of a bucket that have others in a block which sizes and bags don't tell apart.
+_OPEN = ["key", "lo", "hi", "upper", "node", "n_words"]
 
-    members: key, n (size of the bucket), node (16 bytes), n_words, bag. lead is the smallest such other; names are hashes, so the members of a group of
-    near copies agree on one. A bucket is dealt out as pairs of blocks. One row for a member and block, however many pairs there are.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("_own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), (F.col("_own") > F.col("_other")).alias("upper"), "node", "n_words", "bag")
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    kept = ["key", "lo", "hi", "upper", "node", "n_words"]
 
+def _open_members(kept: list[str], least: float):
+    """A function for mapInArrow over blocks with bags: the rows that have others in their block which sizes and bags don't tell apart, and the smallest of these as `lead`."""
     def run(batches):
         for table, ends in _blocks(batches, ["key", "lo", "hi"]):
             n = table.num_rows
             lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
             rank = np.array(table.column("node").to_pylist(), object).argsort().argsort()
-            words, bags = table.column("n_words").to_numpy().astype(np.int64), np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BAG)
+            words, bags = table.column("n_words").to_numpy().astype(np.int64), np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(n, -1)
             first = ends - 1
             best = np.full(n, n, np.int64)
             for i, j, _ in open_pairs(words, bags, ends, _flags(table, "upper"), lo[first] == hi[first], np.arange(n), least):
@@ -278,10 +271,40 @@ def neighbours(members: DataFrame, least: float) -> DataFrame:
             where = np.empty(n, np.int64)
             where[rank] = np.arange(n)
             lead = table.column("node").take(pa.array(where[best[found]]))
-            for batch in table.select(kept).take(pa.array(found)).append_column("lead", lead).to_batches(max_chunksize=4096):
-                yield batch
+            yield from table.select(kept).take(pa.array(found)).append_column("lead", lead).to_batches(max_chunksize=4096)
+
+    return run
+
 
-    return dealt.mapInArrow(run, "key long, lo int, hi int, upper boolean, node binary, n_words int, lead binary")
+def neighbours(members: DataFrame, least: float) -> DataFrame:
+    """key, lo, hi, upper, node, n_words of the members of a bucket that have others in a block which sizes and bags don't tell apart.
+
+    members: key, n (size of the bucket), node (16 bytes), n_words, bag. A bucket is dealt out as pairs of blocks. One row for a member and block, however
+    many pairs there are.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.withColumn("_own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), (F.col("_own") > F.col("_other")).alias("upper"), "node", "n_words", "bag")
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return dealt.mapInArrow(_open_members(_OPEN, least), "key long, lo int, hi int, upper boolean, node binary, n_words int, lead binary").select(_OPEN)
+
+
+def distinct_blocks(near: DataFrame) -> DataFrame:
+    """The rows of near with `large` (whether the block has over SMALL members); of small blocks with the same members one stays."""
+    at = ["key", "lo", "hi"]
+    alone = F.col("lo") == F.col("hi")
+    sums = near.groupBy(*at).agg(F.bit_xor(F.xxhash64("node", "upper")).alias("_one"), F.bit_xor(F.xxhash64("upper", "node")).alias("_two"), F.count("*").alias("_n"), F.sum("n_words").alias("_words"))
+    sums = sums.groupBy("_one", "_two", "_n", "_words", alone.alias("_alone"), F.when(F.col("_n") > SMALL, F.struct(*at)).alias("_large")).agg(F.min(F.struct(*at)).alias("at"))
+    return near.join(sums.select("at.*", (F.col("_n") > SMALL).alias("large")), at)
+
+
+def refined(near: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """The rows of near (key, lo, hi, upper, node, n_words, large) that wide bags don't tell apart from all others of their block, and `lead`: the smallest other.
+
+    Names are hashes, so the members of a group of near copies agree on a lead. words: node, wide.
+    """
+    rows = near.join(words.select("node", F.col("wide").alias("bag")), "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return rows.mapInArrow(_open_members([*_OPEN, "large"], least), "key long, lo int, hi int, upper boolean, node binary, n_words int, large boolean, lead binary")
 
 
 def verify(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -301,23 +324,20 @@ def verify(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
 def join_blocks(members: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """a, b: links between members of a block that carry different labels; as many as join all that alignment shows to be connected.
 
-    members: key, lo, hi, upper, node, n_words, label; words: node, seq, bands. Of the pairs of a block the nearest by their bags are aligned first, and a
+    members: key, lo, hi, upper, large, node, n_words, label; words: node, seq, bands. Of the pairs of a block the nearest by their bags are aligned first, and a
     pair that is connected by then is not aligned, so no more links come out than a block has members, and none between two labels is passed over.
-    Small blocks with the same members are done once; in others a pair is left to the block of the first band that both texts share.
-    Blocks are divided where their words are many.
+    In large blocks a pair is left to the block of the first band that both texts share. Blocks are divided where their words are many.
     """
     at = ["key", "lo", "hi"]
     alone = F.col("lo") == F.col("hi")
-    sums = members.groupBy(*at).agg(F.min("label").alias("_least"), F.max("label").alias("_most"), F.bit_xor(F.xxhash64("node", "upper")).alias("_one"), F.bit_xor(F.xxhash64("upper", "node")).alias("_two"), F.count("*").alias("_n"), F.sum("n_words").alias("_words"))
-    sums = sums.where("_least != _most").groupBy("_one", "_two", "_n", "_words", alone.alias("_alone"), F.when(F.col("_n") > SMALL, F.struct(*at)).alias("_large")).agg(F.min(F.struct(*at)).alias("at"))
-    sums = sums.select("at.*", (F.col("_n") > SMALL).alias("large"), F.greatest(F.lit(1), F.ceil(F.col("_words") * 4 / BLOCK_BYTES)).cast("int").alias("_cuts"))
-    rows = members.join(if_small(durable(sums, "near-blocks"))[0], at)
+    sums = members.groupBy(*at).agg(F.min("label").alias("_least"), F.max("label").alias("_most"), F.sum("n_words").alias("_words")).where("_least != _most")
+    rows = members.join(sums.select(*at, F.greatest(F.lit(1), F.ceil(F.col("_words") * 4 / BLOCK_BYTES)).cast("int").alias("_cuts")), at)
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("_cuts")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
     # a block cut in parts: pairs of parts, with sides by part if the block was one, else each upper part with each other
     rows = rows.select(F.xxhash64(*at).alias("block"), F.when(alone, F.least("_own", "_other")).when(F.col("upper"), F.col("_other")).otherwise(F.col("_own")).alias("lo"),
                        F.when(alone, F.greatest("_own", "_other")).when(F.col("upper"), F.col("_own")).otherwise(F.col("_other")).alias("hi"),
                        F.when(alone, F.col("_own") > F.col("_other")).otherwise(F.col("upper")).alias("upper"), alone.alias("one"), "large", "key", "node", "label")
-    rows = rows.join(words, "node").repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi")
+    rows = rows.join(words.select("node", "seq", "bands"), "node").repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi")
 
     def run(batches):
         for table, ends in _blocks(batches, ["block", "lo", "hi"]):
@@ -413,18 +433,23 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     keyed = classes.select("name", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = keyed.join(shared, "key").join(classes.select("name", "node", "n_words", "bag"), "name").drop("name")
-    near = durable(neighbours(members, least), "near-open")
-    # one pair for each member: with the smallest name over all its buckets, which a group of near copies has in common
-    pairs = near.groupBy("node").agg(F.min("lead").alias("lead")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    pairs = durable(pairs, "near-pairs")
+    opened = durable(neighbours(members, least), "near-open")
+    near = durable(distinct_blocks(opened), "near-blocks")
+    forget(opened)
     wanted = durable(near.select("node").distinct().join(classes, "node").select("node", "class_id", "text_md5"), "near-wanted")
     words = durable(words_of(rows, wanted), "near-words")
     if words.count() > wanted.count():  # rows that repeat an id with its text
-        words = durable(words.groupBy("node").agg(F.first("seq").alias("seq"), F.first("bands").alias("bands")), "near-words")
+        words = durable(words.groupBy("node").agg(*[F.first(x).alias(x) for x in ("seq", "bands", "wide")]), "near-words")
+    told, near = near, durable(refined(near, words, least), "near-refined")
+    forget(told, wanted)
+    # one pair for each member: with the smallest name over all its buckets, which a group of near copies has in common
+    pairs = near.groupBy("node").agg(F.min("lead").alias("lead")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    pairs = durable(pairs, "near-pairs")
     links = durable(verify(pairs, words, least), "near-links")
     label = components(links)
     named = near.drop("lead").join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("_node")
-    more = durable(join_blocks(durable(named, "near-named"), words, least).distinct(), "near-links")
+    named = durable(named, "near-named")
+    more = durable(join_blocks(named, words, least).distinct(), "near-links")
     if not more.isEmpty():
         label = components(links.unionByName(more))
     known = classes.select("node", "class_id").join(label, "node", "left").select("node", "class_id", F.coalesce("label", "node").alias("label"))
@@ -434,22 +459,24 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     known = known.join(groups, "label", "left")
     answer = durable(known.select("node", "class_id", F.when(F.col("keeper").isNull(), F.col("class_id")).otherwise(F.col("cluster_id")).alias("cluster_id"), (F.coalesce("keeper", "node") == F.col("node")).alias("keeps")), "near-answer")
     out = base.select("doc_id", "text_md5", "node").join(answer, "node")
-    forget(classes, near, pairs, wanted, words, links, more)
+    forget(classes, near, pairs, words, links, named, more)
     return out.select("doc_id", "class_id", "cluster_id", (F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"), *(["text_md5"] if with_md5 else []))
 
 
 def words_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, seq (32 bits of each word's hash), bands (keys) of the wanted classes (node, class_id, text_md5), from the rows (doc_id, text_md5, text) that they name."""
+    """node, seq (32 bits of each word's hash), bands (keys), wide (bag) of the wanted classes (node, class_id, text_md5), from the rows (doc_id, text_md5, text) that they name."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 p = batch.slice(at, 256)
                 words = [word_hashes(normal(t)) for t in p.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([p.column("node"), pa.array([short_hashes(w).tobytes() for w in words], pa.binary()), pa.array([band_keys(w).astype("<u8").tobytes() for w in words], pa.binary())], ["node", "seq", "bands"])
+                short = [short_hashes(w) for w in words]
+                yield pa.RecordBatch.from_arrays([p.column("node"), pa.array([x.tobytes() for x in short], pa.binary()), pa.array([band_keys(w).astype("<u8").tobytes() for w in words], pa.binary()),
+                                                  pa.array([word_bag(x, WIDE_BAG).tobytes() for x in short], pa.binary())], ["node", "seq", "bands", "wide"])
 
     small, _ = if_small(wanted.withColumnRenamed("text_md5", "_md5"))
     there = rows.join(small, F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_md5") == F.col("_md5"))).select("node", "text")
-    return there.mapInArrow(run, "node binary, seq binary, bands binary")
+    return there.mapInArrow(run, "node binary, seq binary, bands binary, wide binary")
 
 
 def brute_force(texts: dict[int, str | None], least: float = SIMILARITY) -> dict[int, int]:
