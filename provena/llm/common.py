@@ -51,6 +51,14 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool
     return (F.broadcast(df), True) if small else (df, False)
 
 
+def new_name(start: str, columns: list[str]) -> str:
+    """A column name that starts so and that none of the columns has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while start.lower() in taken:
+        start += "_"
+    return start
+
+
 def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[str], values: dict[str, str]) -> DataFrame:
     """Exclusive running totals within each key, without one task per key.
 

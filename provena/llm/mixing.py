@@ -1,7 +1,7 @@
 """Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks, then seeded block selection."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from provena.llm.common import durable, if_small, running_total, words
@@ -63,21 +63,23 @@ def apportion(targets: DataFrame, block_tokens: int, shards: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, block_tokens: int = 16, shards: int = 8, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken, first_shard.
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken, by_shard array<long>; and the columns `carry` of the row.
 
     size counts words; null and empty texts have 0 and are taken 0 times. A null source is a source of its own, last
     in order. Each source's documents stand in the order of md5(seed:doc_id); its words in that order form blocks of
     block_tokens. The source's quota of blocks is taken from the front, as often around as it needs, so a document
-    is taken whole, the same number of times or once more, but for the one where the quota ends. first_shard is the
-    shard that gets the document's first taken block (null if none). Reruns agree; rows that repeat an id are
+    is taken whole, the same number of times or once more, but for the one where the quota ends. Shard s takes the blocks from the end of
+    the quotas of the shards before it to the end of its own, going around; by_shard has the words of the document that each takes
+    (their sum is taken). Reruns agree; rows that repeat an id are
     interchangeable. An empty table gives no rows. Other columns are ignored.
 
     Texts are read once and never shuffled. Positions in a hot source come from per-bucket sums. Per-source windows run on one
     row per source.
     """
     src = F.col(source_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(src, F.lit("")).alias("src"), src.isNull().alias("no_src"), words(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(src, F.lit("")).alias("src"), src.isNull().alias("no_src"), words(F.col(text_col)).alias("size"), *carry)
+    more = rows.columns[4:]
     rows = rows.withColumn("_order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))))
     rows = durable(rows.withColumn("_bucket", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int")), "mix-sizes")
     key = ["src", "no_src"]
@@ -85,13 +87,17 @@ def mix(docs: DataFrame, block_tokens: int = 16, shards: int = 8, seed: int = 1,
     quotas, _ = if_small(durable(apportion(source_targets(sizes, weights, epochs), block_tokens, shards), "mix-quotas"))
     placed = running_total(rows, key, "_bucket", ["_order", "size"], {"_start": "size"})
     out = placed.join(quotas, key)
-    words_due = F.least(F.element_at("seats", -1) * block_tokens, F.col("source_size") * epochs)
-    out = out.withColumn("_due", words_due).withColumn("_round", F.when(F.col("source_size") > 0, F.floor(F.col("_due") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0))
-    rest = F.col("_due") - F.col("_round") * F.col("source_size")
-    taken = F.col("_round") * F.col("size") + F.greatest(F.lit(0), F.least(rest - F.col("_start"), F.col("size")))
-    out = out.withColumn("taken", taken.cast("long"))
-    first = F.size(F.filter("seats", lambda c: c * block_tokens <= F.col("_start")))
-    return out.select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.least(first, F.lit(shards - 1))).alias("first_shard"))
+    total = F.col("source_size")
+
+    def words_before(due: Column) -> Column:
+        """Words of the document among the first `due` words that the source gives, going around."""
+        rounds = F.floor(due / F.greatest(total, F.lit(1)))
+        return F.when(total > 0, rounds * F.col("size") + F.greatest(F.lit(0), F.least(due - rounds * total - F.col("_start"), F.col("size")))).otherwise(0).cast("long")
+
+    upto = F.transform(F.concat(F.array(F.lit(0).cast("long")), "seats"), lambda c: words_before(F.least(c * block_tokens, total * epochs)))
+    out = out.withColumn("_upto", upto)
+    shard_words = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda s: F.element_at("_upto", s + 1) - F.element_at("_upto", s))
+    return out.select("doc_id", "size", "source_size", "target", F.element_at("_upto", -1).alias("taken"), shard_words.alias("by_shard"), *more)
 
 
 def oracle(block_tokens: int = 16, shards: int = 8, seed: int = 1) -> str:
@@ -107,14 +113,18 @@ f AS (SELECT *, total - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, no_src
         sum(w) OVER (ORDER BY cap::DOUBLE / w, no_src, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM c),
 g AS (SELECT *, remain::DOUBLE * w >= cap::DOUBLE * ws AS capped FROM f),
 lv AS (SELECT remain AS r0, ws AS w0 FROM g WHERE NOT capped ORDER BY cap::DOUBLE / w, no_src, src LIMIT 1),
-t AS (SELECT src, no_src, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE (w * r0)::DOUBLE / w0 END AS target, round(total / {block_tokens}) AS blocks
+t AS (SELECT src, no_src, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE (w * r0)::DOUBLE / w0 END AS target, round(total / {block_tokens})::BIGINT AS blocks
       FROM g LEFT JOIN lv ON true),
 q AS (SELECT src, no_src, target / (2 * k - 1) AS quotient, k, blocks FROM (SELECT *, unnest(range(1, (ceil(target / {block_tokens}) + 3 + (SELECT count(*) FROM s))::BIGINT)) AS k FROM t WHERE target > 0)),
-won AS (SELECT src, no_src, count(*) AS seats FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, no_src, src, k) AS rk FROM q) WHERE rk <= blocks GROUP BY ALL),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, least(coalesce(seats, 0) * {block_tokens}, 3 * t.source_size) AS due,
-        coalesce(sum(d.size) OVER (PARTITION BY d.src, d.no_src ORDER BY o, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-      FROM d JOIN t USING (src, no_src) LEFT JOIN won USING (src, no_src)),
-z AS (SELECT *, CASE WHEN source_size > 0 THEN due // source_size ELSE 0 END AS rounds FROM p)
-SELECT doc_id, size, source_size, target,
-       (rounds * size + greatest(0, least(due - rounds * source_size - start, size)))::BIGINT AS taken
+rk AS (SELECT *, row_number() OVER (ORDER BY quotient DESC, no_src, src, k) AS rk FROM q),
+sh AS (SELECT unnest(range(0, {shards + 1})) AS shard),
+won AS (SELECT t.src, t.no_src, list(least(seats * {block_tokens}, 3 * source_size) ORDER BY shard) AS dues
+        FROM (SELECT t.src, t.no_src, t.source_size, shard, count(rk) AS seats FROM t CROSS JOIN sh LEFT JOIN rk ON rk.src = t.src AND rk.no_src = t.no_src AND rk.rk <= t.blocks * shard // {shards} GROUP BY ALL) AS t GROUP BY ALL),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, won.dues,
+        coalesce(sum(d.size) OVER (PARTITION BY d.src, d.no_src ORDER BY o, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+      FROM d JOIN t USING (src, no_src) JOIN won USING (src, no_src)),
+z AS (SELECT *, list_transform(dues, lambda due: CASE WHEN source_size > 0
+        THEN due // source_size * size + greatest(0, least(due % source_size - start, size)) ELSE 0 END::BIGINT) AS upto FROM p)
+SELECT doc_id, size, source_size, target, upto[{shards + 1}] AS taken,
+       array_to_string(list_transform(range(1, {shards + 1}), lambda i: upto[i + 1] - upto[i]), ',') AS by_shard
 FROM z"""

@@ -1,6 +1,8 @@
 """The opN_ queries: each operator over its whole table with production parameters, and the SQL they are held against."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from provena.llm import bpe, exact_dedup, mixing, mpeg_ts, near_dedup, pii, quality, sharding, toxicity, url_filter
 from provena.llm.common import documents, durable, labels
 
@@ -10,7 +12,7 @@ def op1_exact_dedup(spark, sf_dir):
 
 
 def op2_mixing(spark, sf_dir):
-    return mixing.mix(documents(spark, sf_dir)).drop("first_shard")
+    return mixing.mix(documents(spark, sf_dir)).withColumn("by_shard", F.array_join("by_shard", ","))
 
 
 def op3_near_dedup(spark, sf_dir):
