@@ -254,8 +254,12 @@ def _flags(table, column: str) -> np.ndarray:
 _OPEN = ["key", "lo", "hi", "upper", "node", "n_words"]
 
 
-def _open_members(kept: list[str], least: float):
-    """A function for mapInArrow over blocks with bags: the rows that have others in their block which sizes and bags don't tell apart, and the smallest of these as `lead`."""
+def _open_members(least: float):
+    """A function for mapInArrow over blocks with bags: the rows that have others in their block which sizes and bags don't tell apart.
+
+    lead is one of these others: the smallest of those that the bags show half the edits that are allowed, or less, else the nearest. large
+    says whether the block has over SMALL rows.
+    """
     def run(batches):
         for table, ends in _blocks(batches, ["key", "lo", "hi"]):
             n = table.num_rows
@@ -263,19 +267,27 @@ def _open_members(kept: list[str], least: float):
             rank = np.array(table.column("node").to_pylist(), object).argsort().argsort()
             words, bags = table.column("n_words").to_numpy().astype(np.int64), np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(n, -1)
             first = ends - 1
-            best = np.full(n, n, np.int64)
-            for i, j, _ in open_pairs(words, bags, ends, _flags(table, "upper"), lo[first] == hi[first], np.arange(n), least):
-                np.minimum.at(best, i, rank[j])
-                np.minimum.at(best, j, rank[i])
-            found = np.flatnonzero(best < n)
+            best = np.full(n, np.iinfo(np.int64).max)
+            for i, j, apart in open_pairs(words, bags, ends, _flags(table, "upper"), lo[first] == hi[first], np.arange(n), least):
+                long = np.maximum(words[i], words[j])
+                room = words[i] + words[j] - 2 * (long - ((1 - least) * long + 1e-9).astype(np.int64))
+                far = np.where(2 * apart <= room, 0, (1 + apart.astype(np.int64)) * n)
+                np.minimum.at(best, i, far + rank[j])
+                np.minimum.at(best, j, far + rank[i])
+            found = np.flatnonzero(best < np.iinfo(np.int64).max)
             where = np.empty(n, np.int64)
             where[rank] = np.arange(n)
-            lead = table.column("node").take(pa.array(where[best[found]]))
-            yield from table.select(kept).take(pa.array(found)).append_column("lead", lead).to_batches(max_chunksize=4096)
+            lead = table.column("node").take(pa.array(where[best[found] % n]))
+            size = np.diff(np.append(0, ends))
+            large = pa.array(np.repeat(size > SMALL, size)[found])
+            yield from table.select(_OPEN).take(pa.array(found)).append_column("lead", lead).append_column("large", large).to_batches(max_chunksize=4096)
 
     return run
 
 
+_OPEN_DDL = "key long, lo int, hi int, upper boolean, node binary, n_words int, lead binary, large boolean"
+
+
 def neighbours(members: DataFrame, least: float) -> DataFrame:
     """key, lo, hi, upper, node, n_words of the members of a bucket that have others in a block which sizes and bags don't tell apart.
 
@@ -286,25 +298,26 @@ def neighbours(members: DataFrame, least: float) -> DataFrame:
     dealt = members.withColumn("_own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), (F.col("_own") > F.col("_other")).alias("upper"), "node", "n_words", "bag")
     dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(_open_members(_OPEN, least), "key long, lo int, hi int, upper boolean, node binary, n_words int, lead binary").select(_OPEN)
+    return dealt.mapInArrow(_open_members(least), _OPEN_DDL).select(_OPEN)
 
 
 def distinct_blocks(near: DataFrame) -> DataFrame:
-    """The rows of near with `large` (whether the block has over SMALL members); of small blocks with the same members one stays."""
+    """The rows of near without those of small blocks (up to SMALL members) that have the same members as another."""
     at = ["key", "lo", "hi"]
     alone = F.col("lo") == F.col("hi")
     sums = near.groupBy(*at).agg(F.bit_xor(F.xxhash64("node", "upper")).alias("_one"), F.bit_xor(F.xxhash64("upper", "node")).alias("_two"), F.count("*").alias("_n"), F.sum("n_words").alias("_words"))
-    sums = sums.groupBy("_one", "_two", "_n", "_words", alone.alias("_alone"), F.when(F.col("_n") > SMALL, F.struct(*at)).alias("_large")).agg(F.min(F.struct(*at)).alias("at"))
-    return near.join(sums.select("at.*", (F.col("_n") > SMALL).alias("large")), at)
+    small = durable(sums.where(F.col("_n") <= SMALL), "near-small")
+    firsts = small.groupBy("_one", "_two", "_n", "_words", alone.alias("_alone")).agg(F.min(F.struct(*at)).alias("at")).select("at.*")
+    return near.join(small.select(*at).join(firsts, at, "left_anti"), at, "left_anti")
 
 
 def refined(near: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """The rows of near (key, lo, hi, upper, node, n_words, large) that wide bags don't tell apart from all others of their block, and `lead`: the smallest other.
+    """The rows of near (key, lo, hi, upper, node, n_words) that wide bags don't tell apart from all others of their block, with large and lead (see _open_members).
 
-    Names are hashes, so the members of a group of near copies agree on a lead. words: node, wide.
+    Names are hashes, so the members of a group of near copies mostly agree on a lead. words: node, wide.
     """
     rows = near.join(words.select("node", F.col("wide").alias("bag")), "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return rows.mapInArrow(_open_members([*_OPEN, "large"], least), "key long, lo int, hi int, upper boolean, node binary, n_words int, large boolean, lead binary")
+    return rows.mapInArrow(_open_members(least), _OPEN_DDL)
 
 
 def verify(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -442,7 +455,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
         words = durable(words.groupBy("node").agg(*[F.first(x).alias(x) for x in ("seq", "bands", "wide")]), "near-words")
     told, near = near, durable(refined(near, words, least), "near-refined")
     forget(told, wanted)
-    # one pair for each member: with the smallest name over all its buckets, which a group of near copies has in common
+    # one pair for each member: with the smallest lead over its buckets, which a group of near copies mostly has in common
     pairs = near.groupBy("node").agg(F.min("lead").alias("lead")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     pairs = durable(pairs, "near-pairs")
     links = durable(verify(pairs, words, least), "near-links")
