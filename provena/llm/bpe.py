@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.taskcontext import TaskContext
 
-from provena.llm.common import durable, if_small
+from provena.llm.common import durable, if_small, small_batches
 
 #: A chunk ends where the top bits of the rolling hash are zero: about every 2**CHUNK_BITS bytes.
 CHUNK_BITS = 10
@@ -283,7 +283,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
     """
     path = tokenizer or default_tokenizer()
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_b"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_b"))
     if not encodes_by_words(path):
         return _finish(rows.mapInArrow(_whole(path, with_ids), "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string"), with_ids)
 

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 
 #: A side is broadcast only when it has been counted and has no more rows than this (rows are narrow: ids, hashes, numbers).
 BROADCAST_ROWS = 200_000
+#: Rows of an Arrow batch that holds texts.
+BATCH_ROWS = 512
 #: Where durable() put its tables; entries go with the DataFrames.
 _PLACES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
@@ -45,6 +47,14 @@ def forget(*tables: DataFrame) -> None:
             there.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
 
 
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """df, after setting its session to send Python no more than so many rows at once: a batch of whole texts is held by the JVM and by Python, several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """(df with a broadcast hint, True) if it has at most `rows` rows, else (df, False). df should be cheap to count."""
     small = df.limit(rows + 1).count() <= rows

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from provena.llm.common import small_batches
+
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID, PROGRAM = 0x0000, 0x1000, 0x0100, 1
 #: stream_type 0x06: PES packets with private data; stream_id 0xBD: private stream 1.
@@ -165,9 +167,9 @@ def pad(data: bytes) -> bytes:
 def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: each text's UTF-8 bytes, padded with zeros to a positive multiple of 64, as a transport stream.
 
-    A null text is empty. One row in, one row out; rows that repeat stay; other columns are ignored. A task holds one Arrow batch at a time.
+    A null text is empty. One row in, one row out; rows that repeat stay; other columns are ignored. A task holds the media of 64 rows at a time.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_b"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_b"))
 
     def run(batches):
         for b in batches:
@@ -178,7 +180,7 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def _slices(batch, rows: int = 512):
+def _slices(batch, rows: int = 64):
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 
@@ -190,14 +192,15 @@ def read_media(media: DataFrame) -> DataFrame:
     broken stream gives an empty payload and no units, and counts its errors.
     """
     def run(batches):
-        for b in batches:
-            got = [demux(x or b"") for x in b.column("media").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), b.column("media"), pa.array([g["payload"] for g in got], pa.binary()),
-                                              *[pa.array([g[k] for g in got], pa.int64()) for k in ("packets", "cc_errors", "crc_errors", "program", "pid", "stream_type")],
-                                              pa.array([[u[0] for u in g["units"]] for g in got], pa.list_(pa.int64())), pa.array([[u[1] for u in g["units"]] for g in got], pa.list_(pa.bool_()))],
-                                             ["doc_id", "n_bytes", "media", "payload", "packets", "cc_errors", "crc_errors", "program", "pid", "stream_type", "pts", "random_access"])
-
-    return media.mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, packets long, cc_errors long, crc_errors long, program long, pid long, stream_type long, pts array<long>, random_access array<boolean>")
+        for whole in batches:
+            for b in _slices(whole, 64):
+                got = [demux(x or b"") for x in b.column("media").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), b.column("media"), pa.array([g["payload"] for g in got], pa.binary()),
+                                                  *[pa.array([g[k] for g in got], pa.int64()) for k in ("packets", "cc_errors", "crc_errors", "program", "pid", "stream_type")],
+                                                  pa.array([[u[0] for u in g["units"]] for g in got], pa.list_(pa.int64())), pa.array([[u[1] for u in g["units"]] for g in got], pa.list_(pa.bool_()))],
+                                                 ["doc_id", "n_bytes", "media", "payload", "packets", "cc_errors", "crc_errors", "program", "pid", "stream_type", "pts", "random_access"])
+
+    return small_batches(media).mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, packets long, cc_errors long, crc_errors long, program long, pid long, stream_type long, pts array<long>, random_access array<boolean>")
 
 
 def digests(read: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from provena.llm.common import durable, forget, if_small
+from provena.llm.common import durable, forget, if_small, small_batches
 
 #: Words in a k-mer, k-mers in a key (kept in the order of the text) and keys of a text.
 MER, PICKS, BANDS = 2, 2, 32
@@ -427,7 +427,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     Links, labels and words stay distributed.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_md5"), text.alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_md5"), text.alias("text"))
 
     def sketch(batches):
         for batch in batches:

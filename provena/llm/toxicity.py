@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from provena.llm.common import small_batches
+
 #: N-gram lengths and the number of buckets that they are hashed to.
 LENGTHS, BITS = (4, 5), 20
 #: The classifier is fitted on at most this many labelled rows of each label, the first by hash of their ids.
@@ -112,7 +114,7 @@ def fit_in_one_task(sample: DataFrame, train) -> bytes:
 
 def score_texts(docs: DataFrame, make_scorer, held_out, threshold: float) -> DataFrame:
     """doc_id, held_out, score, predicted by make_scorer()(text); one row per row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
         score = make_scorer()
@@ -155,7 +157,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, per_label: int = MAX_PER_LABE
         for b in batches:
             yield b.filter(pa.array([score(t or "") < threshold for t in b.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = MAX_PER_LABEL, threshold: float = THRESHOLD) -> DataFrame:
