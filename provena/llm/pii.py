@@ -8,7 +8,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from provena.llm.common import durable, if_small
+from provena.llm.common import durable, if_small, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of a protected value that count as occurring with it.
@@ -97,7 +97,7 @@ def revealing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float =
     needs `support` different contexts, or two where chance would bring two or more with at most CHANCE (Poisson, by the counts of
     both), so that copies of one text alone don't make its words revealing.
     """
-    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def mentions(batches):
         for b in batches:
@@ -150,6 +150,15 @@ def revealing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float =
     return worst.withColumn("action", F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise"))
 
 
+def general(token: str) -> str:
+    """The class that a generalised term is replaced by: what it looks like, but not what it says."""
+    if token.isdigit():
+        return "NUMBER"
+    if any(c.isdigit() for c in token):
+        return "CODE"
+    return "NAME" if token[:1].isupper() else "WORD"
+
+
 def _all_spans(text: str, hot: set[str]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     base = base_spans(text)
     extra: list[tuple[str, int, int]] = []
@@ -170,16 +179,16 @@ def _all_spans(text: str, hot: set[str]) -> tuple[list[tuple[str, int, int]], li
 
 
 def find_pii(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, sanitised.
+    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_generalised, n_removed, sanitised.
 
     spans lists kind:start:end (code points, end exclusive) of the pattern kinds, then of revealing terms outside them
-    (kind term). sanitised is the text with pattern spans and removed terms replaced by [KIND], generalised terms by [TERM]. A null text is
+    (kind term). sanitised is the text with pattern spans replaced by [KIND], removed terms by [REMOVED], generalised ones by their class ([NAME], [WORD], [NUMBER] or [CODE]). A null text is
     empty; rows that repeat each get a row; an empty table gives no rows; other columns are ignored.
 
     The terms are broadcast only if counted and small; otherwise each document's own terms are joined with them.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     small, few = if_small(terms.select("term", "action"))
     if few:
         listed = small.toArrow()  # at most BROADCAST_ROWS terms
@@ -209,17 +218,20 @@ def find_pii(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col
                 base, extra = _all_spans(t, hot)
                 n = Counter(k for k, _, _ in base)
                 show = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
-                clean, done = [], 0
+                clean, done, told = [], 0, Counter()
                 for kind, s, e in sorted(base + extra, key=lambda x: (x[1], -x[2])):
                     if s >= done:
-                        mark = kind.upper() if kind != "term" or actions.get(t[s:e].lower()) != "remove" else "REMOVED"
+                        removes = actions.get(t[s:e].lower()) == "remove"
+                        mark = kind.upper() if kind != "term" else "REMOVED" if removes else general(t[s:e])
+                        told[removes] += kind == "term"
                         clean += [t[done:s], f"[{mark}]"]
                         done = e
-                out.append((i, *[n[k] for k in KINDS], hashlib.sha256(show(base).encode()).hexdigest(), show(base + extra), "".join(clean) + t[done:]))
-            columns = list(zip(*out)) if out else [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, [pa.int64()] * 5 + [pa.string()] * 3)], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "sanitised"])
+                out.append((i, *[n[k] for k in KINDS], hashlib.sha256(show(base).encode()).hexdigest(), show(base + extra), told[False], told[True], "".join(clean) + t[done:]))
+            columns = list(zip(*out)) if out else [()] * 10
+            kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 2 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, kinds)], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_generalised", "n_removed", "sanitised"])
 
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, sanitised string")
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_generalised long, n_removed long, sanitised string")
 
 
 def brute_force(text: str | None) -> tuple:

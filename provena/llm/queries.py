@@ -33,7 +33,8 @@ def op6_quality(spark, sf_dir):
 
 def op7_pii(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return pii.find_pii(docs, durable(pii.revealing_terms(docs), "pii-terms")).drop("sanitised")
+    found = pii.find_pii(docs, durable(pii.revealing_terms(docs), "pii-terms"))
+    return found.withColumn("sanitised_sha256", F.sha2("sanitised", 256)).drop("sanitised")
 
 
 def op8_url_filter(spark, sf_dir):
