@@ -1,60 +1,86 @@
-"""Retrieval over many queries at once: BM25 postings, exact dense search, rank fusion, exact and near phrases."""
+"""Retrieval over many queries at once: a stored index, BM25, exact dense search, rank fusion, exact and near phrases, hybrid search."""
 from __future__ import annotations
 
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import BooleanType
 
 from provena.functions.text import LATIN, Profile, inner, key_tokens
+from provena.sources.tables import stored
 
-# Constants of BM25 and of reciprocal-rank fusion.
-K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+# Constants of BM25 and of reciprocal-rank fusion, depth of the lists that are fused.
+K1, B, EPSILON, RRF_K, DEPTH = 1.5, 0.75, 0.25, 60, 3
 #: Queries are broadcast only if counted and no more than this.
 BROADCAST_ROWS = 200_000
-#: First words of the windows that a piece of a record holds.
-PIECE = 256
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows."""
+    """df with a broadcast hint if it has at most `rows` rows. df should be cheap to count."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def term_frequencies(docs: DataFrame, id_col: str, text_col: str = "text", profile: Profile = LATIN) -> DataFrame:
-    """id, n_words, term, tf. A text without words gives no rows."""
-    words = docs.select(F.col(id_col), key_tokens(F.col(text_col), profile).alias("_w"))
-    return words.select(id_col, F.size("_w").alias("n_words"), F.explode("_w").alias("term")).groupBy(id_col, "n_words", "term").agg(F.count("*").alias("tf"))
+def with_term_counts(df: DataFrame, words: str, name: str) -> DataFrame:
+    """df with array<struct<term, tf>> of an array of words, by the runs of its sorted form: a record is one row, so nothing is shuffled.
+
+    The sorted form and the starts of its runs are columns first, as what a lambda names is evaluated for every element.
+    """
+    df = df.withColumn("_sorted", F.array_sort(words))
+    o, n = F.col("_sorted"), F.size("_sorted")
+    df = df.withColumn("_starts", F.filter(F.transform(o, lambda w, i: F.when((i == 0) | (w != F.get(o, i - 1)), i)), lambda i: i.isNotNull()))
+    ends = F.concat(F.slice("_starts", 2, F.size("_starts")), F.array(n))
+    counts = F.zip_with("_starts", ends, lambda i, j: F.struct(F.get(o, i).alias("term"), (j - i).cast("long").alias("tf")))
+    return df.withColumn(name, F.when(n > 0, counts).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))).drop("_sorted", "_starts")
 
 
-def corpus_statistics(docs: DataFrame, text_col: str = "text", profile: Profile = LATIN) -> DataFrame:
-    """One row: n_docs and avg_words over all records, those without words included."""
-    return docs.select(F.size(key_tokens(F.col(text_col), profile)).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_words"))
+@dataclass(frozen=True)
+class Index:
+    """records: id, n_words, keys array<string>, terms array<struct<term, tf>>; vocabulary: term, df, idf; stats: one row of n_docs, avg_words."""
+    records: DataFrame
+    vocabulary: DataFrame
+    stats: DataFrame
+    id_col: str
+    profile: Profile
 
 
-def inverse_frequencies(tf: DataFrame, stats: DataFrame) -> DataFrame:
-    """term, df, idf. Terms in over half of the records get EPSILON times the mean idf."""
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))  # one row
-    df = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("raw").alias("mean_idf"))
-    return df.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+def build_index(docs: DataFrame, id_col: str, text_col: str = "text", profile: Profile = LATIN) -> Index:
+    """The index of a corpus: the only reading of its texts. Tables are stored in the shared folder; what reads them takes the columns it needs.
+
+    Null texts have no words, repeated ids are records each. Terms in over half of the records get EPSILON times the mean idf.
+    """
+    words = docs.select(F.col(id_col), F.coalesce(key_tokens(F.col(text_col), profile), F.array().cast("array<string>")).alias("keys"))
+    records = stored(with_term_counts(words.withColumn("n_words", F.size("keys")), "keys", "terms").select(id_col, "n_words", "keys", "terms"), "index-records")
+    stats = records.agg(F.count("*").alias("n_docs"), F.avg("n_words").alias("avg_words"))
+    df = records.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = stored(df.crossJoin(F.broadcast(stats.select("n_docs"))).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).drop("n_docs"), "index-terms")  # one row
+    mean = raw.agg(F.avg("raw").alias("mean_idf"))
+    vocabulary = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    return Index(records, vocabulary, stats, id_col, profile)
 
 
-def bm25_scores(docs: DataFrame, id_col: str, queries: DataFrame, query_id: str, query_text: str = "text", profile: Profile = LATIN) -> DataFrame:
+def postings(index: Index) -> DataFrame:
+    """id, n_words, term, tf. A text without words gives no rows."""
+    return index.records.select(index.id_col, "n_words", F.explode("terms").alias("_t")).select(index.id_col, "n_words", "_t.term", "_t.tf")
+
+
+def bm25(index: Index, queries: DataFrame, query_id: str, query_text: str = "text") -> DataFrame:
     """query_id, id, score > 0: the sum of the weights of a query's terms, repeated terms counting again.
 
-    Statistics come from all records. Only postings of terms that some query has are weighed and shuffled on.
+    Records are cut down to the terms that some query has and dealt by id once; a record's scores for all queries then come about in
+    its own task, so that what is shuffled follows the records, and not the records times the queries.
     """
-    tf = term_frequencies(docs, id_col, profile=profile)
-    stats = corpus_statistics(docs, profile=profile)
-    asked = queries.select(F.col(query_id), F.explode(key_tokens(F.col(query_text), profile)).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qtf"))
-    asked = asked.join(inverse_frequencies(tf, stats), "term")
-    hits = tf.join(sized(asked), "term").crossJoin(F.broadcast(stats))
+    asked = queries.select(F.col(query_id), F.explode(key_tokens(F.col(query_text), index.profile)).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qtf"))
+    asked = stored(asked, "index-asked")
+    terms = stored(index.vocabulary.join(sized(asked.select("term").distinct()), "term").select("term", "idf"), "index-asked-terms")
+    kept = postings(index).join(sized(terms), "term")
+    kept = kept.groupBy(index.id_col).agg(F.first("n_words").alias("n_words"), F.collect_list(F.struct("term", "idf", "tf")).alias("_t"))
+    hits = kept.select(index.id_col, "n_words", F.explode("_t").alias("_t")).join(sized(asked), F.col("_t.term") == F.col("term")).crossJoin(F.broadcast(index.stats))
     norm = K1 * (1 - B + B * F.col("n_words") / F.col("avg_words"))
-    hits = hits.withColumn("w", F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
-    return hits.groupBy(query_id, id_col).agg(F.sum("w").alias("score")).where("score > 0")
+    weight = F.col("qtf") * F.col("_t.idf") * F.col("_t.tf") * (K1 + 1) / (F.col("_t.tf") + norm)
+    return hits.groupBy(index.id_col, query_id).agg(F.sum(weight).alias("score")).where("score > 0").select(query_id, index.id_col, "score")
 
 
 def top(scores: DataFrame, query_id: str, id_col: str, k: int, score: str = "score", digits: int = 6) -> DataFrame:
@@ -82,23 +108,39 @@ def fuse(first: DataFrame, second: DataFrame, query_id: str, id_col: str, k: int
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def positions(docs: DataFrame, id_col: str, text_col: str = "text", profile: Profile = LATIN) -> DataFrame:
-    """id, keys, term, pos (from 1)."""
-    return docs.select(F.col(id_col), key_tokens(F.col(text_col), profile).alias("keys")).select(id_col, "keys", F.posexplode("keys").alias("_p", "term")).withColumn("pos", F.col("_p") + 1).drop("_p")
+def _asked_phrases(index: Index, queries: DataFrame, query_id: str, text_col: str, least: int = 3) -> DataFrame:
+    """query_id, q (key words, `least` or more)."""
+    return queries.select(F.col(query_id), key_tokens(F.col(text_col), index.profile).alias("q")).where(F.size("q") >= least)
 
 
-def phrase_matches(docs: DataFrame, id_col: str, queries: DataFrame, query_id: str, limit: int | None = None, profile: Profile = LATIN) -> DataFrame:
-    """query_id, id, n_words of records that contain a query's words (3 or more) as a run; shortest first if limited.
+def _anchored(index: Index, asked: DataFrame, query_id: str, anchors: Column) -> DataFrame:
+    """query_id, q, id, start (from 1), n_words, keys of windows in records that fit one of a query's anchors.
 
-    An equi-join on the query's first word replaces the scan for the phrase; the window of words is compared after it.
+    anchors: how many of the query's words are anchors, the rarest of the vocabulary, unknown words first (these have no window). Only the matching
+    positions are joined; a record's words are fetched for those afterwards.
+    """
+    words = asked.select(query_id, F.posexplode("q").alias("_at", "term"))
+    known = index.vocabulary.join(sized(words.select("term").distinct()), "term").select("term", "df")
+    ranked = words.join(sized(known), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    order = W.partitionBy(query_id).orderBy("df", "_at")
+    ranked = ranked.withColumn("_r", F.row_number().over(order)).join(asked.select(query_id, F.size("q").alias("_n"), anchors.alias("_anchors")), query_id).where((F.col("_r") <= F.col("_anchors")) & (F.col("df") > 0))
+    ranked = stored(ranked.select(query_id, "term", "_at", "_n"), "index-anchors")
+    at = index.records.select(index.id_col, "n_words", F.posexplode("keys").alias("_p", "term")).join(sized(ranked), "term")
+    at = at.select(query_id, index.id_col, (F.col("_p") - F.col("_at") + 1).alias("start"), "n_words", "_n").where("start >= 1 and start + _n - 1 <= n_words")
+    windows = stored(at.select(query_id, index.id_col, "start").distinct(), "index-windows")
+    return index.records.join(sized(windows), index.id_col).join(sized(asked), query_id)
+
+
+def phrases(index: Index, queries: DataFrame, query_id: str, limit: int | None = None, text_col: str = "text") -> DataFrame:
+    """query_id, id, n_words of records that contain a query's words (3 or more) as a run; shortest first, with a rank, if limited.
+
+    An equi-join on the query's rarest word replaces the scan for the phrase.
     """
-    q = queries.select(F.col(query_id), key_tokens(F.col("text"), profile).alias("q")).where(F.size("q") >= 3)
-    q = q.withColumn("term", F.element_at("q", 1))
-    hits = positions(docs, id_col, profile=profile).join(sized(q), "term").where(F.slice("keys", F.col("pos"), F.size("q")) == F.col("q"))
-    hits = hits.select(query_id, id_col, F.size("keys").alias("n_words")).distinct()
+    found = _anchored(index, _asked_phrases(index, queries, query_id, text_col), query_id, F.lit(1))
+    hits = found.where(F.slice("keys", F.col("start"), F.size("q")) == F.col("q")).select(query_id, index.id_col, "n_words").distinct()
     if limit is None:
         return hits
-    return hits.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy("n_words", id_col))).where(F.col("rank") <= limit)
+    return hits.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy("n_words", index.id_col))).where(F.col("rank") <= limit)
 
 
 @F.pandas_udf(BooleanType())
@@ -107,23 +149,49 @@ def close_spelling(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([min(len(x), len(y)) >= 2 and SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.75 for x, y in zip(a, b)])
 
 
-def near_phrase_matches(docs: DataFrame, id_col: str, queries: DataFrame, query_id: str, profile: Profile = LATIN) -> DataFrame:
+def near_phrases(index: Index, queries: DataFrame, query_id: str, text_col: str = "text") -> DataFrame:
     """query_id, id, n_words of records with the query's words as a run but for one (from 6 words on two) misspelled words.
 
-    The first or the second word must be right: they anchor the join. Spelling is only compared for windows that pass the count.
+    The first or the second word must be right. With m misspelled words, one of any m + 1 is right, so windows are found by the m + 1 rarest.
+    Spelling is only compared for windows that pass the count.
     """
-    q = queries.select(F.col(query_id), key_tokens(F.col("text"), profile).alias("q")).where(F.size("q") >= 3)
-    anchors = q.select(query_id, "q", F.posexplode(F.slice("q", 1, 2)).alias("anchor", "term"))
-    longest = q.agg(F.coalesce(F.max(F.size("q")), F.lit(0)).alias("n")).first()["n"]
-    # long records go in overlapping pieces, so that a word carries its piece and not the whole record
-    whole = docs.select(F.col(id_col), key_tokens(F.col("text"), profile).alias("_k")).where(F.size("_k") > 0)
-    pieces = F.transform(F.sequence(F.lit(0), F.size("_k") - 1, F.lit(PIECE)), lambda a: F.struct(a.alias("at"), F.slice("_k", a + 1, PIECE + longest).alias("keys")))
-    pieces = whole.select(id_col, F.size("_k").alias("n_words"), F.explode(pieces).alias("_p")).select(id_col, "n_words", "_p.at", "_p.keys")
-    hits = pieces.select(id_col, "n_words", "at", "keys", F.posexplode("keys").alias("_p", "term")).withColumn("pos", F.col("_p") + 1).join(sized(anchors), "term")
-    hits = hits.withColumn("start", F.col("pos") - F.col("anchor")).where((F.col("start") >= 1) & (F.col("start") + F.size("q") - 1 <= F.size("keys")))
-    pairs = F.zip_with("q", F.slice("keys", F.greatest("start", F.lit(1)), F.size("q")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    hits = hits.withColumn("miss", F.filter(pairs, lambda p: p["a"] != p["b"])).where((F.size("miss") > 0) & (F.size("miss") <= F.when(F.size("q") < 6, 1).otherwise(2)))
-    hits = hits.select(query_id, id_col, (F.col("at") + F.col("start")).alias("start"), "n_words", "miss").distinct()
+    most = lambda q: F.when(F.size(q) < 6, 1).otherwise(2)
+    found = _anchored(index, _asked_phrases(index, queries, query_id, text_col), query_id, most("q") + 1)
+    pairs = F.zip_with("q", F.slice("keys", F.col("start"), F.size("q")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    hits = found.select(query_id, index.id_col, "start", "n_words", most("q").alias("_most"), pairs.alias("_pairs"))
+    hits = hits.withColumn("miss", F.filter("_pairs", lambda p: p["a"] != p["b"])).where((F.size("miss") > 0) & (F.size("miss") <= F.col("_most")))
+    right = lambda i: F.get("_pairs", F.lit(i))["a"] == F.get("_pairs", F.lit(i))["b"]
+    hits = hits.where(right(0) | right(1)).select(query_id, index.id_col, "start", "n_words", "miss")
     one = hits.withColumn("m", F.explode("miss")).withColumn("ok", close_spelling(F.col("m.a"), F.col("m.b")))
-    good = one.groupBy(query_id, id_col, "start", "n_words").agg(F.bool_and("ok").alias("ok")).where("ok")
-    return good.select(query_id, id_col, "n_words").distinct()
+    good = one.groupBy(query_id, index.id_col, "start", "n_words").agg(F.bool_and("ok").alias("ok")).where("ok")
+    return good.select(query_id, index.id_col, "n_words").distinct()
+
+
+def append_phrases(ranked: DataFrame, index: Index, queries: DataFrame, query_id: str, k: int, text_col: str = "text") -> DataFrame:
+    """ranked (query_id, id, score) with the k shortest records that contain the query, exactly before nearly, added at its lowest score; appended tells them."""
+    asked = queries.select(query_id, text_col)
+    exact = phrases(index, asked, query_id, text_col=text_col).select(query_id, index.id_col, "n_words", F.lit(0).alias("_near"))
+    near = near_phrases(index, asked, query_id, text_col=text_col).select(query_id, index.id_col, "n_words", F.lit(1).alias("_near"))
+    found = exact.unionByName(near).groupBy(query_id, index.id_col).agg(F.min("_near").alias("_near"), F.min("n_words").alias("n_words"))
+    found = found.withColumn("_r", F.row_number().over(W.partitionBy(query_id).orderBy("_near", "n_words", index.id_col))).where(F.col("_r") <= k)
+    floor = ranked.groupBy(query_id).agg(F.min("score").alias("score"))
+    more = found.select(query_id, index.id_col).join(ranked, [query_id, index.id_col], "left_anti").join(floor, query_id, "left").select(query_id, index.id_col, F.coalesce("score", F.lit(0.0)).alias("score"))
+    return ranked.select(query_id, index.id_col, "score").withColumn("appended", F.lit(False)).unionByName(more.withColumn("appended", F.lit(True)))
+
+
+def ranked_with_phrases(index: Index, queries: DataFrame, query_id: str, k: int = 8, text_col: str = "text") -> DataFrame:
+    """query_id, id, score, rank: the k best by BM25 and, without a rank, the records that contain the query, exactly or nearly, below them."""
+    best = stored(top(bm25(index, queries, query_id, text_col), query_id, index.id_col, k), "index-bm25")
+    more = append_phrases(best.select(query_id, index.id_col, "score"), index, queries, query_id, k, text_col)
+    return more.join(best.select(query_id, index.id_col, "rank"), [query_id, index.id_col], "left").select(query_id, index.id_col, "score", "rank")
+
+
+def hybrid(index: Index, dense: DataFrame, queries: DataFrame, query_id: str, k: int = 8, text_col: str = "text") -> DataFrame:
+    """query_id, id, score, appended: BM25 and dense lists of DEPTH * k fused by reciprocal ranks, the k best, and the records that contain the query below them.
+
+    dense: query_id, id, score of the dense search, whichever encoder made it.
+    """
+    words = stored(top(bm25(index, queries, query_id, text_col), query_id, index.id_col, DEPTH * k), "index-bm25")
+    fused = fuse(words, top(dense, query_id, index.id_col, DEPTH * k), query_id, index.id_col, k)
+    best = stored(fused.select(query_id, index.id_col, F.col("fused").alias("score")), "index-fused")
+    return append_phrases(best, index, queries, query_id, k, text_col)

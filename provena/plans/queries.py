@@ -5,9 +5,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from provena.functions import text as T
-from provena.operators import align, evaluate, extract, retrieval, rules
+from provena.operators import align, evaluate, extract, retrieval, rules, verdicts
 from provena.plans import samples
 from provena.sources import readers
+from provena.sources.tables import stored
 from provena.streaming import folds
 
 QUERIES: dict = {}
@@ -84,12 +85,14 @@ def vocabulary(spark, d):
 # -- BM25 -----------------------------------------------------------------------------------------------------------
 
 def _tf(doc_id: str, docs: str) -> str:
-    return f"t AS (SELECT {doc_id}, {TOK.format('text')} AS ws FROM {docs}), tf AS (SELECT {doc_id}, n_words, term, count(*) AS tf FROM (SELECT {doc_id}, len(ws)::INTEGER AS n_words, unnest(ws) AS term FROM t) GROUP BY ALL)"
+    return f"t AS MATERIALIZED (SELECT {doc_id}, {TOK.format('text')} AS ws FROM {docs}), tf AS MATERIALIZED (SELECT {doc_id}, n_words, term, count(*) AS tf FROM (SELECT {doc_id}, len(ws)::INTEGER AS n_words, unnest(ws) AS term FROM t) GROUP BY ALL)"
 
 
-_IDF = """st AS (SELECT count(*) AS n_docs, avg(len(ws)) AS avg_words FROM t),
-raw AS (SELECT term, count(*) AS df, ln((SELECT n_docs FROM st) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+_IDF = """st AS MATERIALIZED (SELECT count(*) AS n_docs, avg(len(ws)) AS avg_words FROM t),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM dfs CROSS JOIN st),
+mean AS MATERIALIZED (SELECT avg(raw) AS m FROM raw),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw CROSS JOIN mean)"""
 
 
 def _scores(docs: str, doc_id: str, queries: str, query_id: str) -> str:
@@ -101,17 +104,21 @@ s AS (SELECT {query_id}, {doc_id}, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 *
 
 @query(f"WITH {_tf('doc_id', 'documents')} SELECT doc_id, n_words, count(*) AS n_terms, max(tf) AS max_tf FROM tf GROUP BY ALL")
 def postings(spark, d):
-    return retrieval.term_frequencies(table(spark, d, "documents"), "doc_id").groupBy("doc_id", "n_words").agg(F.count("*").alias("n_terms"), F.max("tf").alias("max_tf"))
+    records = retrieval.build_index(table(spark, d, "documents"), "doc_id").records.where("n_words > 0")
+    return records.select("doc_id", "n_words", F.size("terms").cast("long").alias("n_terms"), F.array_max("terms.tf").alias("max_tf"))
 
 
 @query(f"WITH {_tf('doc_id', 'documents')}, {_IDF} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def doc_freq_idf(spark, d):
-    docs = table(spark, d, "documents")
-    return retrieval.inverse_frequencies(retrieval.term_frequencies(docs, "doc_id"), retrieval.corpus_statistics(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.build_index(table(spark, d, "documents"), "doc_id").vocabulary.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _index(spark, d) -> retrieval.Index:
+    return retrieval.build_index(table(spark, d, "documents"), "doc_id")
 
 
 def _bm25(spark, d) -> DataFrame:
-    return retrieval.bm25_scores(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id")
+    return retrieval.bm25(_index(spark, d), table(spark, d, "benchmark"), "item_id")
 
 
 @query(_scores("documents", "doc_id", "benchmark", "item_id") + "SELECT item_id, doc_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s) WHERE rank <= 8")
@@ -172,7 +179,7 @@ _PHRASE = f"ph AS (SELECT q.item_id, b.doc_id, b.n_words FROM {_pad('item_id', '
 
 @query(f"WITH {_PHRASE} SELECT * FROM ph")
 def phrase_matches(spark, d):
-    return retrieval.phrase_matches(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id")
+    return retrieval.phrases(_index(spark, d), table(spark, d, "benchmark"), "item_id")
 
 
 @query(_scores("documents", "doc_id", "benchmark", "item_id") + f""", {_PHRASE},
@@ -182,8 +189,9 @@ SELECT item_id, doc_id, score, false AS appended FROM t8 UNION ALL
 SELECT item_id, doc_id, coalesce((SELECT min(score) FROM t8 WHERE t8.item_id = p8.item_id), 0) AS score, true AS appended FROM p8 WHERE NOT EXISTS (SELECT 1 FROM t8 WHERE t8.item_id = p8.item_id AND t8.doc_id = p8.doc_id)""")
 def phrase_append(spark, d):
     """Phrase matches are added below the ranked list at its lowest score."""
-    top = retrieval.top(_bm25(spark, d), "item_id", "doc_id", 8).select("item_id", "doc_id", "score")
-    phrase = retrieval.phrase_matches(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id", limit=8).select("item_id", "doc_id")
+    index, asked = _index(spark, d), table(spark, d, "benchmark")
+    top = stored(retrieval.top(retrieval.bm25(index, asked, "item_id"), "item_id", "doc_id", 8).select("item_id", "doc_id", "score"), "ranked")
+    phrase = retrieval.phrases(index, asked, "item_id", limit=8).select("item_id", "doc_id")
     floor = top.groupBy("item_id").agg(F.min("score").alias("score"))
     more = phrase.join(top, ["item_id", "doc_id"], "left_anti").join(floor, "item_id", "left").select("item_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     return top.withColumn("appended", F.lit(False)).unionByName(more.withColumn("appended", F.lit(True)))
@@ -191,19 +199,28 @@ def phrase_append(spark, d):
 
 @query(f"WITH {_PHRASE} SELECT lang, item_id, count(*) AS records FROM ph JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY ALL")
 def count_containing(spark, d):
-    hits = retrieval.phrase_matches(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id")
+    hits = retrieval.phrases(_index(spark, d), table(spark, d, "benchmark"), "item_id")
     return hits.join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang", "item_id").agg(F.count("*").alias("records"))
 
 
 @query(f"WITH {_PHRASE} SELECT item_id, count(doc_id) AS n_relevant, min(doc_id) AS first_doc FROM (SELECT item_id FROM benchmark) LEFT JOIN ph USING (item_id) GROUP BY item_id")
 def containment_relevance(spark, d):
-    hits = retrieval.phrase_matches(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id")
+    hits = retrieval.phrases(_index(spark, d), table(spark, d, "benchmark"), "item_id")
     return table(spark, d, "benchmark").select("item_id").join(hits, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("n_relevant"), F.min("doc_id").alias("first_doc"))
 
 
 @query()
 def near_phrase(spark, d):
-    return retrieval.near_phrase_matches(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id")
+    """Documents with a passage but for misspelled words. The passages of the tables stand in them as they are; near_phrase_typos has hits."""
+    return retrieval.near_phrases(_index(spark, d), table(spark, d, "benchmark"), "item_id")
+
+
+@query()
+def near_phrase_typos(spark, d):
+    """Every passage with one or two words misspelled, and the documents that have it rightly spelled."""
+    typos = evaluate.typo_mutations(table(spark, d, "benchmark"), "item_id").where("family != 'exact'")
+    typos = typos.select(F.concat_ws("/", F.col("item_id").cast("string"), "family").alias("qid"), F.col("query").alias("text"))
+    return retrieval.near_phrases(_index(spark, d), typos, "qid")
 
 
 # -- adjacency, classes, samples ------------------------------------------------------------------------------------
@@ -250,7 +267,7 @@ def mutations_typos(spark, d):
 def _known_item(spark, d) -> DataFrame:
     records = table(spark, d, "benchmark")
     q = evaluate.text_mutations(records, "item_id").select(F.concat_ws("/", F.col("item_id").cast("string"), "family").alias("qid"), F.col("item_id").alias("source_id"), "family", F.col("query").alias("text"))
-    ranked = retrieval.top(retrieval.bm25_scores(records, "item_id", q, "qid"), "qid", "item_id", 8)
+    ranked = retrieval.top(retrieval.bm25(retrieval.build_index(records, "item_id"), q, "qid"), "qid", "item_id", 8)
     ranked = ranked.join(q.select("qid", "source_id"), "qid")
     first = evaluate.first_relevant(ranked, "qid", F.col("item_id") == F.col("source_id"))
     return q.select("qid", "family", "source_id").join(first, "qid", "left")
@@ -470,25 +487,83 @@ def regression_pass(spark, d):
 @query()
 def align_claims(spark, d):
     """Each passage held against the 8 documents that BM25 ranks first for it and all that contain it, exactly or nearly; those below have no rank."""
-    top = retrieval.top(_bm25(spark, d), "item_id", "doc_id", 8).select("item_id", "doc_id", "rank")
-    asked = [table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id"]
-    more = retrieval.phrase_matches(*asked).select("item_id", "doc_id").unionByName(retrieval.near_phrase_matches(*asked).select("item_id", "doc_id")).distinct()
+    index, asked = _index(spark, d), table(spark, d, "benchmark")
+    top = stored(retrieval.top(retrieval.bm25(index, asked, "item_id"), "item_id", "doc_id", 8).select("item_id", "doc_id", "rank"), "ranked")
+    more = retrieval.phrases(index, asked, "item_id").select("item_id", "doc_id").unionByName(retrieval.near_phrases(index, asked, "item_id").select("item_id", "doc_id")).distinct()
     top = top.unionByName(more.join(top, ["item_id", "doc_id"], "left_anti").withColumn("rank", F.lit(None).cast("int")))
     pairs = top.join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("claim")), "item_id").join(table(spark, d, "documents").select("doc_id", F.col("text").alias("source")), "doc_id")
     al = align.align_pairs(pairs, "claim", "source", stemmed=False)
     return al.select("item_id", "doc_id", "rank", F.round("al.claim_coverage", 6).alias("claim_coverage"), F.round("al.dice", 6).alias("dice"), F.col("al.exact").alias("exact"), F.col("al.span_start").alias("span_start"), F.col("al.span_end").alias("span_end"))
 
 
+def _posts(spark, d) -> DataFrame:
+    """post, text: every passage, or the first turn of the conversation of its number, as people ask about one; the form goes by the number."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("n"), T.wording_tokens(F.col("text")).alias("w"))
+    t = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("n")).agg(F.min_by("text", "turn").alias("turn")).select("n", T.wording_tokens(F.col("turn")).alias("v"))
+    b = b.join(t, "n", "left").withColumn("v", F.coalesce("v", "w"))
+    said = lambda w: F.array_join(w, " ")
+    first = lambda w: F.slice(w, 1, 5)
+    wrong = F.concat(F.array(F.lit("zzzz")), F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))))
+    forms = [F.concat(F.lit("قال تعالى: «"), said("v"), F.lit("»")), F.concat(F.lit("قال تعالى: «"), said(wrong), F.lit("»")), F.concat(F.lit("في الحديث «"), said("w"), F.lit("»")), F.concat(F.lit('"'), said("w"), F.lit('"')),
+             F.concat(F.lit('"'), said(first("v")), F.lit('"')), F.concat(F.lit('"'), F.coalesce(F.get("w", F.lit(0)), F.lit("")), F.lit('"')), F.concat(F.lit('"'), said(F.transform(first("w"), lambda w: F.concat(F.lit("q"), F.reverse(w)))), F.lit('"')),
+             F.concat(F.lit("هل يجوز لي "), said(first("w")), F.lit("؟")), F.lit("حكم مسالة مختلفة كثيرا"), F.lit("كيف يكون هذا الامر كله؟"), F.concat(F.lit("أعطني حديثا يثبت أن "), said(first("w"))), F.lit("أعطني حديثا يثبت هذا الكلام")]
+    return b.select(F.concat_ws("/", F.lit("post"), F.col("n").cast("string")).alias("post"), F.get(F.array(*forms), (F.col("n") % len(forms)).cast("int")).alias("text"))
+
+
+def _corpus(spark, d) -> verdicts.Corpus:
+    """Conversations stand for verses (a group's turns), passages for records, graded by the labels of their number."""
+    c, b, lab = table(spark, d, "conversations"), table(spark, d, "benchmark"), table(spark, d, "labels")
+    verses = c.groupBy(F.col("conv_id").alias("grp"), F.col("turn").alias("ord")).agg(F.min("text").alias("text")).select(F.concat_ws(":", F.col("grp").cast("string"), F.col("ord").cast("string")).alias("id"), "grp", "ord", "text", F.lit(True).alias("verified"))
+    grade = lambda good: F.when(F.col(good) == 1, "authentic").otherwise("weak")
+    records = b.join(lab.withColumnRenamed("doc_id", "item_id"), "item_id", "left").select(F.col("item_id").cast("string").alias("id"), "text", F.when(F.col("quality").isNotNull(), F.array_distinct(F.array(grade("quality"), F.when(F.col("item_id") % 3 == 0, "weak").otherwise(grade("quality"))))).alias("classes"), (F.col("item_id") % 7 != 0).alias("verified"))
+    search = lambda index: lambda q, k: retrieval.ranked_with_phrases(index, q, "claim", k)
+    return verdicts.Corpus(verses, records, search(retrieval.build_index(verses, "id")), search(retrieval.build_index(records, "id")), T.LATIN)
+
+
 @query()
 def verdicts_end_to_end(spark, d):
-    """Passages as claims, documents as the verse-like corpus: best candidate by coverage, then the rules, then counts for all codes."""
-    al = align_claims(spark, d)
-    best = al.withColumn("_n", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("claim_coverage"), F.desc("exact"), F.desc("dice"), "doc_id"))).where("_n = 1")
-    words = table(spark, d, "benchmark").select("item_id", F.size(T.key_tokens(F.col("text"))).alias("n_words"))
-    rows = words.join(best, "item_id", "left").select("item_id", "n_words", F.lit("A").alias("level"), F.lit("quran").alias("hint"), F.lit(False).alias("question"), F.col("claim_coverage").alias("v_coverage"), F.col("exact").alias("v_exact"),
-                                                      F.lit(False).alias("v_whole"), F.lit(None).cast("double").alias("h_content"), F.lit(None).cast("boolean").alias("h_exact"), F.lit(None).cast("boolean").alias("h_whole"),
-                                                      F.lit(None).cast("string").alias("h_verdict"), F.lit(True).alias("source_verified"))
-    return rules.zero_filled(rules.judge(rows))
+    """Posts in twelve forms to claims, both corpora searched and aligned, the rules with their notes, and what is shown of each claim."""
+    claims = extract.extract_claims(_posts(spark, d), ["post"]).select(F.concat_ws("#", "post", F.col("claim_id").cast("string")).alias("claim"), "text", "hint", "level", "context_after", "request")
+    out = verdicts.judge_claims(claims, _corpus(spark, d), th=rules.Thresholds(require_verified=True))
+    return out.select("claim", "verdict", "level", "kind", "source_id", "closest_id", F.col("evidence.claim_coverage").alias("coverage"), F.size("diff").alias("n_diff"), F.size("alternatives").alias("n_alternatives"), F.array_join("notes", ",").alias("notes"))
+
+
+_WIDE = """w AS (SELECT o_orderkey AS id, ['A', 'B', 'C', 'D'][o_orderkey % 4 + 1] AS level, ['quran', 'hadith', 'unknown', 'unknown', 'unknown'][o_custkey % 5 + 1] AS hint, o_orderkey % 3 = 0 AS question, (o_custkey % 5 + 1)::INTEGER AS n_words,
+CASE WHEN o_orderkey % 11 <> 0 THEN (o_custkey % 13) / 12::DOUBLE END AS v_coverage, CASE WHEN o_orderkey % 11 <> 0 THEN (o_custkey % 13) / 12::DOUBLE END AS v_content, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey % 13 = 12 END AS v_exact, o_custkey % 2 = 0 AS v_whole,
+CASE WHEN o_orderkey % 13 <> 0 THEN (o_custkey % 9) / 8::DOUBLE END AS h_content, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey % 9 >= 7 END AS h_exact, o_custkey % 4 = 0 AS h_whole,
+['VERIFIED', 'NOT_AUTHENTIC', 'DISPUTED', 'NEEDS_REVIEW'][o_custkey % 4 + 1] AS h_verdict, o_custkey % 6 <> 0 AS source_verified, ['', '', '', 'question', 'evidence', 'evidence_ref'][o_orderkey % 6 + 1] AS request FROM orders),
+x AS (SELECT *, coalesce(v_exact, false) AS ve, coalesce(h_exact, false) AS he, n_words >= 3 AS long, coalesce(h_content, 0) AS hc FROM w),
+r AS (SELECT *, CASE WHEN hc < 0.6 THEN 'NO_ORIGIN/' WHEN hc < 0.75 OR NOT he THEN 'NEEDS_REVIEW/hadith' ELSE h_verdict || '/hadith' END AS rec FROM x),
+j AS (SELECT *, CASE WHEN request = 'evidence_ref' THEN 'NO_ORIGIN/'
+WHEN level = 'D' THEN CASE WHEN NOT question AND ve AND v_coverage = 1 AND long THEN 'VERIFIED/quran' ELSE 'REFER/' END
+WHEN hint = 'quran' THEN CASE WHEN coalesce(v_coverage, 0) < 0.6 THEN 'NO_ORIGIN/' WHEN ve THEN 'VERIFIED/quran' WHEN n_words < 3 THEN 'NEEDS_REVIEW/quran' ELSE 'ALTERED/quran' END
+WHEN hint = 'hadith' THEN CASE WHEN ve AND long THEN 'VERIFIED/quran' ELSE rec END
+WHEN ve AND long THEN 'VERIFIED/quran' WHEN long AND hc >= 0.75 THEN rec WHEN long AND coalesce(v_coverage, 0) >= 0.6 THEN 'NEEDS_REVIEW/quran' WHEN level = 'C' THEN 'DISPUTED/'
+WHEN long THEN 'NO_ORIGIN/' WHEN he AND h_whole THEN rec WHEN ve AND v_whole AND n_words = 2 THEN 'VERIFIED/quran' WHEN ve AND (n_words = 2 OR v_whole) THEN 'NEEDS_REVIEW/quran' WHEN he AND n_words = 2 THEN 'NEEDS_REVIEW/hadith' ELSE 'NO_ORIGIN/' END AS a FROM r),
+g AS (SELECT *, string_split(a, '/')[2] AS b0, CASE WHEN string_split(a, '/')[2] <> '' AND NOT source_verified THEN 'NEEDS_REVIEW' ELSE string_split(a, '/')[1] END AS v0 FROM j),
+q AS (SELECT id, CASE WHEN request = 'question' AND v0 = 'NO_ORIGIN' THEN 'OUT_OF_SCOPE' WHEN request = 'evidence' AND v0 NOT IN ('VERIFIED', 'NOT_AUTHENTIC', 'DISPUTED', 'IN_SOURCE') THEN 'NO_ORIGIN' ELSE v0 END AS verdict,
+CASE WHEN (request = 'question' AND v0 = 'NO_ORIGIN') OR (request = 'evidence' AND v0 NOT IN ('VERIFIED', 'NOT_AUTHENTIC', 'DISPUTED', 'IN_SOURCE')) THEN NULL ELSE nullif(b0, '') END AS basis FROM g)"""
+
+
+def _wide(spark, d) -> DataFrame:
+    """Rows of every combination of levels, marks, coverages, grades and requests, from the numbers of orders."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    of = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    share, grade = F.when(k % 11 != 0, (c % 13) / F.lit(12.0)), F.when(k % 13 != 0, (c % 9) / F.lit(8.0))
+    return table(spark, d, "orders").select(k.alias("id"), of("ABCD", k % 4).alias("level"), of(["quran", "hadith", "unknown", "unknown", "unknown"], c % 5).alias("hint"), (k % 3 == 0).alias("question"), (c % 5 + 1).cast("int").alias("n_words"),
+                                            share.alias("v_coverage"), share.alias("v_content"), F.when(k % 11 != 0, c % 13 == 12).alias("v_exact"), (c % 2 == 0).alias("v_whole"), grade.alias("h_content"), F.when(k % 13 != 0, c % 9 >= 7).alias("h_exact"), (c % 4 == 0).alias("h_whole"),
+                                            of(["VERIFIED", "NOT_AUTHENTIC", "DISPUTED", "NEEDS_REVIEW"], c % 4).alias("h_verdict"), (c % 6 != 0).alias("source_verified"), of(["", "", "", "question", "evidence", "evidence_ref"], k % 6).alias("request"))
+
+
+@query(f"WITH {_WIDE} SELECT id, verdict, basis FROM q")
+def verdict_rules(spark, d):
+    """The whole rule tree with the source gate and the request rule over rows of every kind."""
+    return rules.apply_request(rules.decide(_wide(spark, d), rules.Thresholds(require_verified=True))).select("id", "verdict", "basis")
+
+
+@query(f"WITH {_WIDE}, codes AS (SELECT unnest({list(rules.VERDICTS)!r}) AS verdict) SELECT verdict, (SELECT count(*) FROM q WHERE q.verdict = codes.verdict) AS n FROM codes")
+def verdict_counts(spark, d):
+    return rules.zero_filled(verdict_rules(spark, d))
 
 
 @query()

@@ -14,7 +14,7 @@ def one(spark, col):
 
 @pytest.mark.parametrize("word, stem", [("والكتاب", "كتاب"), ("الله", "الله"), ("بالله", "الله"), ("فالله", "الله"), ("وال", "وال"), ("كالبحر", "بحر"), ("للناس", "ناس"), ("قلم", "قلم")])
 def test_stem(spark, word, stem):
-    assert one(spark, T.light_stem(F.lit(word))) == stem == align.stem(word)
+    assert one(spark, T.light_stem(F.lit(word))) == stem
 
 
 def test_normal_forms(spark):
@@ -36,22 +36,43 @@ def test_runs_and_pairs(spark):
     assert one(spark, T.word_ngrams(F.array(F.lit("a")), 2, 4)) == [" a", "a ", " a "]
 
 
-def test_align_self_and_changes():
+def aligned(spark, pairs, *profile, **options):
+    """The alignments of (claim, source) pairs, in their order."""
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").coalesce(1)
+    return [r.al for r in align.align_pairs(rows, "a", "b", *profile, **options).orderBy("i").collect()]
+
+
+def test_align_self_and_changes(spark):
     text = "one two three four five six"
-    full = align.align(text, text, stemmed=False)
+    full, part, changed, empty, null = aligned(spark, [(text, text), ("three four", text), ("one two tree four five six", text), ("", text), (None, text)], stemmed=False)
     assert full["exact"] and full["claim_coverage"] == full["dice"] == 1.0 and (full["span_start"], full["span_end"]) == (0, 6)
-    part = align.align("three four", text, stemmed=False)
     assert part["exact"] and part["span_start"] == 2 and part["span_coverage"] == 1.0
-    changed = align.align("one two tree four five six", text, stemmed=False)
     assert not changed["exact"] and [d["op"] for d in changed["diff"]] == ["equal", "changed", "equal"] and changed["added"] == [["tree"]]
-    assert [d["op"] for d in align.align("one two four five six", text)["diff"]] == ["equal", "missing", "equal"]
-    assert align.align("", text)["diff"] == [] and align.align("zzz", text)["added"] == [["zzz"]]
-    assert align.align("five seven", text)["tail_source"] == "six"
+    assert tuple(changed["diff"][1]) == ("changed", None, "tree", "three") and changed["diff"][0]["text"] == "one two"
+    assert empty["diff"] == [] and null["claim_coverage"] == 0.0 and not null["exact"]
+    missing, other, tail = aligned(spark, [("one two four five six", text), ("zzz", text), ("five seven", text)])
+    assert [d["op"] for d in missing["diff"]] == ["equal", "missing", "equal"]
+    assert other["added"] == [["zzz"]] and tail["tail_source"] == "six"
+
 
+def test_align_keeps_negation_and_picks_the_span(spark):
+    """The literal words win over an earlier run of equal stems; a conjunction may stand before the first word; content words count apart."""
+    pair = ("كتاب جديد", "الكتاب الجديد ثم كتاب جديد")
+    kept, literal = aligned(spark, [("يكتب الطالب درسا", "قال لا يكتب الطالب درسا"), pair], T.ARABIC, stemmed=False, keep_negation=True)
+    assert not kept["exact"] and kept["diff"][0]["op"] == "missing"
+    assert literal["exact"] and (literal["span_start"], literal["span_end"]) == (3, 5)
+    loose, content = aligned(spark, [pair, ("في بيت", "من بيت")], T.ARABIC)
+    assert loose["span_start"] == 0 and content["claim_coverage"] == 0.5 and content["content_coverage"] == 1.0
+    after, = aligned(spark, [("قل خيرا", "ثم وقل خيرا")], T.ARABIC, stemmed=False, leading_conjunction=True)
+    assert after["exact"] and after["span_start"] == 1
 
-def test_align_keeps_negation():
-    got = align.align("يكتب الطالب درسا", "قال لا يكتب الطالب درسا", T.ARABIC, stemmed=False, keep_negation=True)
-    assert not got["exact"] and got["diff"][0]["op"] == "missing"
+
+def test_first_run_against_slices():
+    import random
+    r = random.Random(2)
+    for _ in range(500):
+        hay, needle = ([r.choice("abc") for _ in range(n)] for n in (r.randint(0, 12), r.randint(1, 4)))
+        assert align.first_run(hay, needle) == next((i for i in range(len(hay)) if hay[i : i + len(needle)] == needle), None)
 
 
 def test_align_benchmark_passages_to_themselves(spark, data):
@@ -60,17 +81,46 @@ def test_align_benchmark_passages_to_themselves(spark, data):
     assert got and all(r.exact and r.claim_coverage == 1 for r in got)
 
 
+def claims(spark, *texts):
+    """The claims of each text, in order."""
+    rows = extract.extract_claims(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), ["id"]).orderBy("id", "claim_id").collect()
+    return [[r for r in rows if r.id == i] for i in range(len(texts))]
+
+
 def test_extract_quotes_cues_and_limits(spark):
-    c = extract.extract('قال تعالى: «نص أول هنا» ثم "قول آخر"')
-    assert [(x["text"], x["hint"], x["level"]) for x in c] == [("نص أول هنا", "quran", "A"), ("قول آخر", "unknown", "B")]
-    many = extract.extract(" ".join(f'"word {i}"' for i in range(15)))
-    assert len(many) == 12 and many[0]["omitted"] == 3
-    personal = extract.extract("هل يجوز لي أن أسافر؟")
+    quote, many, personal, asked, null, blank, plain = claims(spark, 'قال تعالى: «نص أول هنا» ثم "قول آخر"', " ".join(f'"word {i}"' for i in range(15)), "هل يجوز لي أن أسافر؟", "هل هذا الحديث: العلم نور وهدى صحيح", None, "   ", 'a "bc de" f')
+    assert [(x["text"], x["hint"], x["level"]) for x in quote] == [("نص أول هنا", "quran", "A"), ("قول آخر", "unknown", "B")]
+    assert len(many) == 12 and many[0]["omitted"] == 3 and [x["claim_id"] for x in many] == list(range(1, 13))
     assert personal[0]["level"] == "D"
-    assert extract.extract("هل هذا الحديث: العلم نور وهدى صحيح")[0]["hint"] == "hadith"
-    assert extract.extract(None)[0]["text"] == "" and len(extract.extract("   ")) == 1
-    rows = extract.extract_claims(spark.createDataFrame([(1, 'a "bc de" f'), (2, None)], "id int, text string"), ["id"]).collect()
-    assert {r.id for r in rows} == {1, 2}
+    assert asked[0]["hint"] == "hadith" and asked[0]["text"] == "العلم نور وهدى"
+    assert null[0]["text"] == "" and len(blank) == 1 and [x["text"] for x in plain] == ["bc de"]
+
+
+def test_extract_spans_and_offsets(spark):
+    texts = ['«أ "بب جج" دد» ثم "هه وو"', "﴿نص آية هنا﴾ وبعدها زوجتي قالت شيئا. قال رسول الله ﷺ العلم نور للناس، فهل يجوز لي تركه؟", "أعطني حديثا يثبت هذا الكلام. لماذا يصوم الناس رمضان؟", "one two three. four five six? " + "x " * 200]
+    overlap, mixed, back, long = claims(spark, *texts)
+    assert [x["text"] for x in overlap] == ['أ "بب جج" دد', "هه وو"]
+    assert [x["hint"] for x in mixed] == ["quran", "personal", "personal", "hadith"] and mixed[3]["text"] == "العلم نور للناس"
+    assert mixed[1]["text"] == "﴿نص آية هنا﴾ وبعدها زوجتي قالت شيئا" and mixed[2]["text"].endswith("تركه")
+    assert {x["request"] for x in back} == {"evidence_ref", "question"}
+    assert [x["text"] for x in long][:2] == ["one two three", "four five six"] and len(long) == 3
+    for text, found in zip(texts, (overlap, mixed, back, long)):
+        for x in found:
+            assert x["text"] in text[x["start"] : x["end"]] and x["context_after"] in ("", text[x["end"] : x["end"] + 120])
+
+
+def test_extract_against_plain_quotes(spark, data):
+    """Quoted spans of whole documents against a plain scan in priority of the styles."""
+    import re
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", F.concat(F.lit("«x y» "), F.col("text"), F.lit(' "end here"')).alias("text"))
+    got = {}
+    for r in extract.extract_claims(rows.where(F.length("text") < 3000), ["doc_id"]).where("hint != 'personal'").collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    for r in rows.where(F.length("text") < 3000).collect():
+        want = []
+        for _, pattern in extract.QUOTES:
+            want += [m.span() for m in re.finditer(pattern, r.text) if all(m.end() <= s or m.start() >= e for s, e in want)]
+        assert got[r.doc_id] == sorted(want)[:12]
 
 
 def test_verdict_table(spark):
@@ -94,8 +144,9 @@ def test_unreviewed_source_needs_review(spark):
 def test_near_phrase_and_close(spark):
     docs = spark.createDataFrame([(1, "the quick brown fox jumps over"), (2, "the quick brawn fox jumps over"), (3, "the quick zzzzz fox jumps")], "id int, text string")
     q = spark.createDataFrame([(9, "quick brown fox jumps")], "qid int, text string")
-    assert [(r.qid, r.id) for r in retrieval.near_phrase_matches(docs, "id", q, "qid").collect()] == [(9, 2)]
-    assert [r.id for r in retrieval.phrase_matches(docs, "id", q, "qid").collect()] == [1]
+    index = retrieval.build_index(docs, "id")
+    assert [(r.qid, r.id) for r in retrieval.near_phrases(index, q, "qid").collect()] == [(9, 2)]
+    assert [r.id for r in retrieval.phrases(index, q, "qid").collect()] == [1]
 
 
 def test_mutations(spark):
