@@ -18,6 +18,8 @@ WINDOW = 10
 SUPPORT, CHANCE = 3, 0.01
 #: Share of a value's information content that a term may reveal; above it the term is generalised, above REMOVE removed.
 DISCLOSURE, REMOVE = 0.8, 0.95
+#: Different terms that a task counts before it passes the counts on.
+COUNTED = 100_000
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 PUNCTUATION = ".,;:!?()[]{}<>\"'|*#$%&"
 
@@ -89,6 +91,19 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> dict[str, set[str]
     return out
 
 
+def _counted(batches, terms):
+    """term, n: in how many of a task's texts each of terms(text) occurs, and how many texts there are (term null). Counts go on when COUNTED are held."""
+    seen: Counter = Counter()
+    for b in batches:
+        for t in b.column("text").to_pylist():
+            seen.update(terms(t))
+        seen[None] += b.num_rows
+        if len(seen) > COUNTED:
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(seen.values(), pa.int64())], ["term", "n"])
+            seen = Counter()
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(seen.values(), pa.int64())], ["term", "n"])
+
+
 def revealing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """term, value, disclosure, action of terms that reveal a protected value beyond the threshold. docs: doc_id, text.
 
@@ -121,22 +136,12 @@ def revealing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float =
 
         def document_counts(batches):
             terms = names.value
-            for b in batches:
-                seen: Counter = Counter()
-                n = b.num_rows
-                if terms:
-                    for t in b.column("text").to_pylist():
-                        seen.update(terms & _terms(set(t.lower().split())))
-                yield pa.RecordBatch.from_arrays([pa.array([*seen, None], pa.string()), pa.array([*seen.values(), n], pa.int64())], ["term", "n"])
+            yield from _counted(batches, lambda t: terms & _terms(set(t.lower().split())) if terms else ())
 
         counts = rows.mapInArrow(document_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     else:
         def all_terms(batches):
-            for b in batches:
-                seen: Counter = Counter()
-                for t in b.column("text").to_pylist():
-                    seen.update(_terms(set(t.lower().split())))
-                yield pa.RecordBatch.from_arrays([pa.array([*seen, None], pa.string()), pa.array([*seen.values(), b.num_rows], pa.int64())], ["term", "n"])
+            yield from _counted(batches, lambda t: _terms(set(t.lower().split())))
 
         counts = rows.mapInArrow(all_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     counts = durable(counts, "pii-counts")
