@@ -23,6 +23,9 @@ STOP_WORDS = ("من", "في", "علي", "الي", "عن", "ما", "لا", "ان"
 SPELLINGS = {"الزنا": "الزني", "حسرتا": "حسرتي", "ويلتا": "ويلتي"}
 JOINED_WORD, SPLIT_WORD = "بعدما", "بعد ما"
 
+VARIANTS = ("آأإٱةىیک", "ااااهييك")
+INVISIBLE = "[\ufeff\u200b-\u200f\u2060\u00ad]"
+
 #: What is not a word: anything but letters, letter and other numbers, and white space.
 NOT_WORD = r"[^\p{L}\p{Nl}\p{No}\s]"
 
@@ -156,6 +159,23 @@ def word_ngrams(words: Column, low: int = 2, high: int = 4) -> Column:
     return F.flatten(F.transform(words, grams))
 
 
+def text_key(text: Column) -> Column:
+    """Key of a quotation: marks and the stretching sign dropped, punctuation to spaces; letters and their order stay. White space is squeezed."""
+    return squeeze(F.regexp_replace(F.regexp_replace(text, r"[\p{M}ـ]", ""), r"\p{P}", " "))
+
+
+def comparable(text: Column) -> Column:
+    """Form in which two editions are compared: invisible signs and marks dropped, letter variants folded, Persian letters among them."""
+    bare = F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), MARKS, "")
+    return squeeze(F.translate(bare, *VARIANTS))
+
+
+def first_of_group(text: Column, group: Column, order: Column, opening: str, own: tuple[int, ...] = (1,)) -> Column:
+    """text without an opening phrase that editions put before the first row of a group; groups in `own` have it as a row of theirs."""
+    cut = (order == 1) & ~group.isin(*own) & F.startswith(text, F.lit(opening + " "))
+    return F.when(cut, F.substring(text, len(opening) + 2, 1 << 20)).otherwise(text)
+
+
 def quote_url(text: Column) -> Column:
     """Percent-encoding with %20 for a space."""
     return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))

@@ -250,6 +250,7 @@ def hash_sample_per_group(spark, d):
 
 
 _DROP = "left({0}, length({0}) // 2) || substr({0}, length({0}) // 2 + 2)"
+_SWAP = f"CASE WHEN {{0}}[length({{0}})//2] <> {{0}}[length({{0}})//2+1] THEN left({{0}}, length({{0}})//2-1) || {{0}}[length({{0}})//2+1] || {{0}}[length({{0}})//2] || substr({{0}}, length({{0}})//2+2) ELSE {_DROP} END"
 
 
 @query(f"""WITH w AS (SELECT item_id, {WORDS.format('text')} AS ws FROM benchmark), u AS (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
@@ -257,26 +258,33 @@ o AS (SELECT item_id, ws, list(i ORDER BY length(ws[i]) DESC, i) AS o FROM u GRO
 x AS (SELECT *, ws[o[1]] AS a, ws[o[2]] AS b FROM o),
 y AS (SELECT item_id, ws, 'exact' AS family, ws AS q FROM x UNION ALL
 SELECT item_id, ws, 'letter_dropped', list_concat(ws[1:o[1]-1], [{_DROP.format('a')}], ws[o[1]+1:]) FROM x WHERE length(a) >= 4 UNION ALL
-SELECT item_id, ws, 'letters_swapped', list_concat(ws[1:o[1]-1], [CASE WHEN a[length(a)//2] <> a[length(a)//2+1] THEN left(a, length(a)//2-1) || a[length(a)//2+1] || a[length(a)//2] || substr(a, length(a)//2+2) ELSE {_DROP.format('a')} END], ws[o[1]+1:]) FROM x WHERE length(a) >= 4)
-SELECT item_id, family, array_to_string(q, ' ') AS query FROM y""")
+SELECT item_id, ws, 'letters_swapped', list_concat(ws[1:o[1]-1], [{_SWAP.format('a')}], ws[o[1]+1:]) FROM x WHERE length(a) >= 4 UNION ALL
+SELECT item_id, ws, 'two_words_typos', list_transform(ws, lambda v, i: CASE WHEN i = o[1] OR i = o[2] THEN {_DROP.format('v')} ELSE v END) FROM x WHERE len(ws) >= 4 AND length(b) >= 4),
+ex AS (SELECT item_id, ws[(len(ws)-5)//2+1:(len(ws)-5)//2+5] AS e FROM w WHERE len(ws) >= 9), eu AS (SELECT item_id, e, unnest(range(1, 6)) AS i FROM ex), eo AS (SELECT item_id, e, list(i ORDER BY length(e[i]) DESC, i) AS o FROM eu GROUP BY item_id, e),
+z AS (SELECT item_id, family, q FROM y UNION ALL SELECT item_id, 'excerpt_with_typo', list_transform(e, lambda v, i: CASE WHEN i = o[1] THEN {_DROP.format('v')} ELSE v END) FROM eo WHERE length(e[o[1]]) >= 4)
+SELECT item_id, family, array_to_string(q, ' ') AS query FROM z""")
 def mutations_typos(spark, d):
-    m = evaluate.typo_mutations(table(spark, d, "benchmark"), "item_id")
-    return m.where("family in ('exact', 'letter_dropped', 'letters_swapped')").select("item_id", "family", "query")
+    return evaluate.typo_mutations(table(spark, d, "benchmark"), "item_id").select("item_id", "family", "query")
 
 
 def _known_item(spark, d) -> DataFrame:
     records = table(spark, d, "benchmark")
-    q = evaluate.text_mutations(records, "item_id").select(F.concat_ws("/", F.col("item_id").cast("string"), "family").alias("qid"), F.col("item_id").alias("source_id"), "family", F.col("query").alias("text"))
+    # the decomposed family is left out, as DuckDB has no decomposition to compare with
+    q = evaluate.text_mutations(records, "item_id").where("family != 'decomposed'").select(F.concat_ws("/", F.col("item_id").cast("string"), "family").alias("qid"), F.col("item_id").alias("source_id"), "family", F.col("query").alias("text"))
     ranked = retrieval.top(retrieval.bm25(retrieval.build_index(records, "item_id"), q, "qid"), "qid", "item_id", 8)
     ranked = ranked.join(q.select("qid", "source_id"), "qid")
     first = evaluate.first_relevant(ranked, "qid", F.col("item_id") == F.col("source_id"))
     return q.select("qid", "family", "source_id").join(first, "qid", "left")
 
 
-_MUT = f"""m AS (SELECT item_id, text, {WORDS.format('text')} AS ws FROM benchmark),
+_LONGEST = "list_sort(list_transform({0}, lambda v, i: {{'n': -length(v), 'i': i}}))[1].i"
+_MUT = f"""m0 AS (SELECT item_id, text, {WORDS.format('text')} AS ws FROM benchmark), m AS (SELECT *, CASE WHEN len(ws) >= 8 THEN ws[(len(ws)-5)//2+1:(len(ws)-5)//2+5] END AS ex FROM m0 WHERE len(ws) > 0),
+mt AS (SELECT *, coalesce(ex, ws) AS tw, {_LONGEST.format('coalesce(ex, ws)')} AS longest FROM m),
 mu AS (SELECT item_id, 'verbatim' AS family, text AS text FROM m UNION ALL SELECT item_id, 'punctuation_spacing', '« ' || array_to_string(ws, ' ،  ') || ' »' FROM m UNION ALL
-SELECT item_id, 'upper_case', upper(array_to_string(ws, ' ')) FROM m UNION ALL SELECT item_id, 'negation_added', 'not ' || array_to_string(ws, ' ') FROM m UNION ALL
-SELECT item_id, 'five_word_excerpt', array_to_string(ws[(len(ws)-5)//2+1:(len(ws)-5)//2+5], ' ') FROM m WHERE len(ws) >= 8),
+SELECT item_id, 'upper_case', upper(array_to_string(ws, ' ')) FROM m UNION ALL SELECT item_id, 'negation_added', '{evaluate.NOT} ' || array_to_string(ws, ' ') FROM m UNION ALL
+SELECT item_id, 'vowel_noise', array_to_string(list_transform(ws, lambda v: left(v, 1) || '{evaluate.VOWEL}' || substr(v, 2)), ' ') FROM m UNION ALL
+SELECT item_id, CASE WHEN ex IS NULL THEN 'single_word_transposition' ELSE 'five_word_excerpt_transposition' END, array_to_string(list_transform(tw, lambda v, i: CASE WHEN i = longest THEN {_SWAP.format('v')} ELSE v END), ' ') FROM mt WHERE length(tw[longest]) >= 4 UNION ALL
+SELECT item_id, 'five_word_excerpt', array_to_string(ex, ' ') FROM m WHERE ex IS NOT NULL),
 mq AS (SELECT item_id::VARCHAR || '/' || family AS qid, item_id AS source_id, family, text FROM mu)"""
 _RANKS = _scores("benchmark", "item_id", "mq", "qid").replace("WITH ", f"WITH {_MUT}, ", 1) + """,
 rk AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id))::INTEGER AS rank FROM s),
@@ -366,13 +374,17 @@ def claim_truncation(spark, d):
     return extract.truncate(c, "conv_id", limit=3)
 
 
+#: The same patterns where \b doesn't know Arabic letters: t is in normal form, so words end at blanks.
+_PERSONAL_SQL = extract.PERSONAL.replace(r"\bانا\b.*\bهل\b", "(^| )انا( .*)? هل( |$)").replace(r".*\b(لي|علي)\b", "(.* )?(لي|علي)( |$)")
+
+
 def _any_sql(t: str, words) -> str:
     return "(" + " OR ".join(f"contains({t}, '{w}')" for w in words) + ")"
 
 
 @query(f"""WITH w AS (SELECT id, window_text, {_NORMAL.format('window_text')} AS t FROM (VALUES {samples.values(samples.WINDOWS)}) v(id, window_text)),
 p AS (SELECT *, CASE WHEN {_any_sql('t', extract.VERSE_CUES)} THEN 'quran' WHEN contains(window_text, '{extract.HONORIFIC}') OR {_any_sql('t', extract.RECORD_CUES)} THEN 'hadith' END AS cue,
-regexp_matches(t, 'هل يجوز لي|هل يحق لي|هل يلزمني|هل علي |في حالتي|زوجتي|زوجي|طليقتي|حلفت|نذرت|ماذا افعل|(^| )انا( .*)? هل( |$)|ما حكم (.* )?(لي|علي)( |$)') AS personal FROM w)
+regexp_matches(t, '{_PERSONAL_SQL}') AS personal FROM w)
 SELECT id, cue, personal, CASE WHEN cue IS NOT NULL THEN 'A' WHEN personal THEN 'D' WHEN {_any_sql('t', extract.DISPUTED)} THEN 'C' ELSE 'B' END AS level FROM p""")
 def cue_and_level(spark, d):
     w = spark.createDataFrame(samples.WINDOWS, "id int, window_text string").withColumn("t", T.normalize(F.col("window_text"), T.ARABIC, compose=True))
@@ -428,9 +440,9 @@ def page_text(spark, d):
     return table(spark, d, "pages").select("page_id", readers.plain_text(F.col("html")).alias("text"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY c_custkey LIMIT 100")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 3) ORDER BY o_orderkey LIMIT 100")
 def capture_todo(spark, d):
-    return readers.todo(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", 100)
+    return readers.todo(table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").where("l_linenumber = 3").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", 100)
 
 
 @query("""SELECT 'unique' AS rule, count(*) - count(DISTINCT doc_id) AS violations FROM documents UNION ALL SELECT 'present_text', count(*) FILTER (text IS NULL) FROM documents UNION ALL SELECT 'present_lang', count(*) FILTER (lang IS NULL) FROM documents""")
@@ -438,8 +450,8 @@ def constraint_report(spark, d):
     return evaluate.constraint_report(table(spark, d, "documents"), "doc_id", ["text", "lang"])
 
 
-@query("""WITH r AS (SELECT doc_id // 1000 AS part, doc_id, sha256(doc_id::VARCHAR || '|' || lang || '|' || text) AS h FROM documents), p AS (SELECT part, sha256(string_agg(h, '' ORDER BY doc_id)) AS h FROM r GROUP BY part)
-SELECT sha256(string_agg(h, '' ORDER BY part)) AS digest FROM p""")
+@query("""WITH r AS (SELECT doc_id // 1000 AS part, doc_id, sha256(doc_id::VARCHAR || '|' || lang || '|' || text) AS h FROM documents), p AS (SELECT part, sha256(string_agg(h, '' ORDER BY doc_id)) AS h FROM r GROUP BY part),
+q AS (SELECT part // 1000 AS part, sha256(string_agg(h, '' ORDER BY part)) AS h FROM p GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY part)) AS digest FROM q""")
 def content_digest(spark, d):
     return evaluate.content_digest(table(spark, d, "documents"), "doc_id", ["lang", "text"])
 

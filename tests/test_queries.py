@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from provena.plans import queries as own
+from provena.plans import programs, queries as own  # noqa: F401  (programs adds to the registry)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
