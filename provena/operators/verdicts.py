@@ -47,15 +47,15 @@ def without_opening(claims: DataFrame, profile: T.Profile = T.ARABIC) -> DataFra
 def surface(doc: Column, claim: Column, profile: T.Profile, whole_words: bool = True) -> Column:
     """Whether a claim's wording, before stemming, stands in a text: as a run of words, or of the normal form."""
     if whole_words:
-        return T.contains_run(T.wording_tokens(doc, profile), T.wording_tokens(claim, profile))
+        needle = F.array_join(T.wording_tokens(claim, profile), " ")
+        return (needle != "") & T.contains_words(F.array_join(T.wording_tokens(doc, profile), " "), needle)
     return T.contains_words(T.normalize(doc, profile), T.normalize(claim, profile))
 
 
 def residue(added: Column, keys: Column) -> Column:
-    """How closely the unmatched words echo words of the source: the mean over them of the best likeness of letter pairs; 1 if none is unmatched."""
-    words = F.flatten(added)
-    best = F.transform(words, lambda w: F.coalesce(F.array_max(F.transform(keys, lambda k: T.jaccard(T.letter_pairs(w), T.letter_pairs(k)))), F.lit(0.0)))
-    return F.when(F.size(words) == 0, 1.0).otherwise(F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(words))
+    """How closely the unmatched words echo words of the source: the mean over them of the best likeness of letter pairs; 1 if none is unmatched. Both as arrays of pairs."""
+    best = F.transform(added, lambda w: F.coalesce(F.array_max(F.transform(keys, lambda k: T.jaccard(w, k))), F.lit(0.0)))
+    return F.when(F.size(added) == 0, 1.0).otherwise(F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(added))
 
 
 def verse_candidates(claims: DataFrame, hits: DataFrame, corpus: Corpus) -> DataFrame:
@@ -90,10 +90,13 @@ def best_verses(claims: DataFrame, hits: DataFrame, corpus: Corpus) -> DataFrame
     # one verse earlier counts only where the hit itself leaves words open
     own = al.where("step = 0 and ord_end is null").select("claim", "hit", F.col("al.claim_coverage").alias("_own"))
     al = al.join(own, ["claim", "hit"], "left").where("step = 0 or _own < 1").drop("_own")
-    keys = T.key_tokens(c("source"), corpus.profile)
-    al = al.withColumns({"cover": F.round("al.claim_coverage", 3), "literal": surface(c("source"), c("text"), corpus.profile), "echo": F.round(residue(c("al.added"), keys), 3), "tight": F.round("al.span_coverage", 3), "alike": F.round("al.dice", 3)})
+    al = al.withColumns({"cover": F.round("al.claim_coverage", 3), "literal": surface(c("source"), c("text"), corpus.profile), "tight": F.round("al.span_coverage", 3), "alike": F.round("al.dice", 3)})
+    # echoes only order what can be shown
+    al = al.dropDuplicates(["claim", "id"]).withColumn("_top", F.max("cover").over(W.partitionBy("claim")))
+    shows = (c("cover") == c("_top")) | (c("cover") >= F.greatest(F.lit(LEAST_NEAR), c("_top") - NEAR_GAP - 0.001))
+    al = al.withColumn("_added", F.when(shows, F.transform(F.flatten("al.added"), T.letter_pairs))).withColumn("_keys", F.when(shows, F.transform(F.array_distinct(T.key_tokens(c("source"), corpus.profile)), T.letter_pairs)))
+    al = al.withColumn("echo", F.when(shows, F.round(residue(c("_added"), c("_keys")), 3)).otherwise(0.0)).drop("_added", "_keys", "_top")
     order = [F.desc(x) for x in ("cover", "literal", "echo", "tight", "alike")] + [c("grp"), c("ord"), c("ord_end").asc_nulls_first(), c("id")]
-    al = al.dropDuplicates(["claim", "id"])
     per = W.partitionBy("claim")
     al = al.withColumn("n", F.row_number().over(per.orderBy(*order)))
     best = al.where("n = 1").select("claim", *[c(x).alias(f"b_{x}") for x in ("cover", "literal", "grp", "ord")], c("al.exact").alias("b_exact"), c("al.claim_coverage").alias("b_coverage"))

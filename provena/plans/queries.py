@@ -211,16 +211,10 @@ def containment_relevance(spark, d):
 
 @query()
 def near_phrase(spark, d):
-    """Documents with a passage but for misspelled words. The passages of the tables stand in them as they are; near_phrase_typos has hits."""
-    return retrieval.near_phrases(_index(spark, d), table(spark, d, "benchmark"), "item_id")
-
-
-@query()
-def near_phrase_typos(spark, d):
-    """Every passage with one or two words misspelled, and the documents that have it rightly spelled."""
-    typos = evaluate.typo_mutations(table(spark, d, "benchmark"), "item_id").where("family != 'exact'")
-    typos = typos.select(F.concat_ws("/", F.col("item_id").cast("string"), "family").alias("qid"), F.col("query").alias("text"))
-    return retrieval.near_phrases(_index(spark, d), typos, "qid")
+    """Every passage, as it is (family exact) and with one or two words misspelled, and the documents that have it but for spelling."""
+    asked = evaluate.typo_mutations(table(spark, d, "benchmark"), "item_id")
+    asked = asked.select(F.concat_ws("/", F.col("item_id").cast("string"), "family").alias("qid"), "item_id", "family", F.col("query").alias("text"))
+    return retrieval.near_phrases(_index(spark, d), asked, "qid").join(asked.select("qid", "item_id", "family"), "qid").select("item_id", "family", "doc_id", "n_words")
 
 
 # -- adjacency, classes, samples ------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from difflib import SequenceMatcher
 
 import pytest
 
+from provena.operators import evaluate
 from provena.plans import queries as own
 
 
@@ -35,8 +36,9 @@ def near(p, w):
 
 def test_near_phrase_takes_whole_passages(spark, small):
     d, passages, docs = small
-    want = {(i, j) for i, p in enumerate(passages) for j, w in enumerate(docs) if near(p, w)}
-    assert {(r.item_id, r.doc_id) for r in own.near_phrase(spark, d).collect()} == want and len(want) > 20
+    asked = [(r.item_id, r.family, r.query.split()) for r in evaluate.typo_mutations(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id").collect()]
+    want = {(i, f, j) for i, f, p in asked for j, w in enumerate(docs) if len(p) >= 3 and near(p, w)}
+    assert {(r.item_id, r.family, r.doc_id) for r in own.near_phrase(spark, d).collect()} == want and len({x for x in want if x[1] == "exact"}) > 20
 
 
 def test_align_takes_every_document_that_contains_a_passage(spark, small):
