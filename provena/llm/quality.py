@@ -10,6 +10,8 @@ from provena.llm.toxicity import fit_in_one_task, labelled_sample, score_texts
 
 #: Words in a passage; a document is the bag of all its passages.
 PASSAGE_WORDS = 50
+#: A fit takes at least this many steps, so that a small sample is gone through often enough.
+STEPS = 600
 #: Sizes of a passage's encoding and of the attention space.
 HIDDEN, ATTENTION = 24, 12
 MAX_PER_LABEL = 3_000
@@ -116,7 +118,7 @@ class Model:
 
 
 def fit(texts: list[str], labels: list[int], prior: float, epochs: int = 12, batch: int = 64, rate: float = 0.01, decay: float = 1e-3) -> Model:
-    """Adam on the cross-entropy of document labels; both labels weigh the same in sum. With one label only every text scores the prior."""
+    """Adam on the cross-entropy of document labels, for `epochs` passes or as many as make STEPS steps, if that is more; both labels weigh the same in sum. With one label only every text scores the prior."""
     m = Model()
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
@@ -129,7 +131,7 @@ def fit(texts: list[str], labels: list[int], prior: float, epochs: int = 12, bat
     r = np.random.default_rng(2)
     first, second = {k: np.zeros_like(v) for k, v in m.p.items()}, {k: np.zeros_like(v) for k, v in m.p.items()}
     step = 0
-    epochs = max(epochs, 600 * batch // len(y)) if len(y) < 50 * batch else epochs
+    epochs = max(epochs, STEPS * batch // len(y))
     for _ in range(epochs):
         order = r.permutation(len(y))
         for at in range(0, len(y), batch):

@@ -13,7 +13,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame([(h, p, v) for v, h, p in rules], "host string, path string, verdict string")
+    rows = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for v, h, p in rules])
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -54,8 +55,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     tried = tried.select("host", "path", digest(F.col("_suffix"), F.col("_prefix")).alias("_full")).withColumn("short", F.substring("_full", 1, 2 * short_bytes))
     hits = tried.join(listed, "short").where("_full = full")
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
-    out = rows.join(best, ["host", "path"], "left")
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    out = rows.where("host != ''").join(best, ["host", "path"], "left")
+    out = out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    none = rows.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))  # however many, they meet no rule and no join
+    return out.unionByName(none)
 
 
 ORACLE = r"""
