@@ -5,7 +5,7 @@ import unicodedata
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 # Letters, words and prefixes of the Arabic profile.
@@ -128,6 +128,22 @@ def split_particles(words: Column, vocabulary: Column, prefixes=("لا", "ولا
     return F.flatten(F.transform(words, parts))
 
 
+def split_joined(rows: DataFrame, words: str, vocabulary: DataFrame, prefixes=("لا", "ولا", "فلا", "يا")) -> DataFrame:
+    """rows with the words of an array column split as by split_particles, the known words (column term) in a table of any size.
+
+    Only words that begin with a particle are joined with the vocabulary; rows without such words keep theirs as they are.
+    """
+    known = vocabulary.select("term").distinct()
+    df = rows.withColumn("_row", F.monotonically_increasing_id())
+    cuts = [F.when(F.startswith("w", F.lit(p)) & (F.length("w") >= len(p) + 2), F.struct(F.lit(k).alias("k"), F.lit(p).alias("p"), F.substring("w", len(p) + 1, 1 << 20).alias("rest"))) for k, p in enumerate(prefixes)]
+    each = df.select("_row", F.posexplode(words).alias("i", "w")).select("_row", "i", "w", F.explode(F.filter(F.array(*cuts), lambda c: c.isNotNull())).alias("c"))
+    each = each.join(known.withColumnRenamed("term", "w"), "w", "left_anti").select("_row", "i", "c.*").join(known.withColumnRenamed("term", "rest"), "rest", "left_semi")
+    best = each.groupBy("_row", "i").agg(F.max(F.struct("k", "p", "rest")).alias("b")).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("i", F.array("b.p", "b.rest").alias("v")))).alias("_m"))
+    out = df.join(best, "_row", "left")
+    split = F.flatten(F.transform(words, lambda w, i: F.coalesce(F.col("_m")[i], F.array(w))))
+    return out.withColumn(words, F.when(F.col("_m").isNull(), F.col(words)).otherwise(split)).select(*rows.columns)
+
+
 def contains_words(text: Column, needle: Column) -> Column:
     """Whether needle occurs in text as whole words; both single-spaced."""
     return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), needle, F.lit(" ")))

@@ -20,39 +20,59 @@ def admit(times: list[float], limit: int, window: float = 60.0, recent: deque |
     return out, recent
 
 
+def folded(rows: DataFrame, key: str, order: list[str], schema: str, start, step) -> DataFrame:
+    """step(state, frame) -> frame over each key's rows in order, with a state that start() makes for each key.
+
+    Rows come sorted and in batches, so a key with any number of rows costs time and not memory; a key is one sequence by nature.
+    """
+    def run(frames):
+        current, state = None, None
+        for pdf in frames:
+            ends = [0, *((pdf[key] != pdf[key].shift()).to_numpy().nonzero()[0][1:]), len(pdf)] if len(pdf) else [0]
+            for a, b in zip(ends, ends[1:]):
+                part = pdf.iloc[a:b]
+                if state is None or part[key].iloc[0] != current:
+                    current, state = part[key].iloc[0], start()
+                yield step(state, part)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def rate_limit(events: DataFrame, key: str, event_id: str, ts: str, limit: int, window: float = 60.0) -> DataFrame:
-    """key, event_id, admitted. A fold per key in the order of time, then id; the keys are dealt out, a key is one sequence by nature."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", event_id])
-        return pd.DataFrame({key: pdf[key], event_id: pdf[event_id], "admitted": admit(pdf["t"].tolist(), limit, window)[0]})
+    """key, event_id, admitted. A fold per key in the order of time, then id. Rows without a key are dropped."""
+    def step(recent: deque, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: pdf[key], event_id: pdf[event_id], "admitted": admit(pdf["t"].tolist(), limit, window, recent)[0]})
 
-    return events.selectExpr(key, event_id, f"unix_micros(cast({ts} as timestamp)) / 1e6 as t").groupBy(key).applyInPandas(run, f"{key} long, {event_id} long, admitted boolean")
+    rows = events.selectExpr(key, event_id, f"unix_micros(cast({ts} as timestamp)) / 1e6 as t").where(f"{key} is not null")
+    return folded(rows, key, ["t", event_id], f"{key} long, {event_id} long, admitted boolean", deque, step)
 
 
-def cache_hits(keys: list[str], times: list[float], size: int, ttl: float) -> list[bool]:
-    """Hits of a cache that holds `size` keys by last use; an entry ends `ttl` seconds after it was put, reads don't extend it."""
-    held: OrderedDict[str, float] = OrderedDict()
+def cache_hits(keys: list[str], times: list[float], size: int, ttl: float, held: OrderedDict | None = None, ok: list[bool] | None = None) -> list[bool]:
+    """Hits of a cache that holds `size` keys by last use; an entry ends `ttl` seconds after it was put, reads don't extend it. What isn't ok is not kept."""
+    held = OrderedDict() if held is None else held
     out = []
-    for k, t in zip(keys, times):
+    for k, t, good in zip(keys, times, ok or [True] * len(keys)):
         if k in held and t - held[k] <= ttl:
             held.move_to_end(k)
             out.append(True)
             continue
+        out.append(False)
+        held.pop(k, None)
+        if not good:
+            continue
         held[k] = t
-        held.move_to_end(k)
         if len(held) > size:
             held.popitem(last=False)
-        out.append(False)
     return out
 
 
 def cache(events: DataFrame, group: str, event_id: str, ts: str, item: str, size: int, ttl: float) -> DataFrame:
-    """group, event_id, hit: one cache per group, in the order of time, then id."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", event_id])
-        return pd.DataFrame({group: pdf[group], event_id: pdf[event_id], "hit": cache_hits(pdf["item"].tolist(), pdf["t"].tolist(), size, ttl)})
+    """group, event_id, hit: one cache per group, in the order of time, then id. Rows without a group are dropped."""
+    def step(held: OrderedDict, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({group: pdf[group], event_id: pdf[event_id], "hit": cache_hits(pdf["item"].tolist(), pdf["t"].tolist(), size, ttl, held)})
 
-    return events.selectExpr(group, event_id, f"{item} as item", f"unix_micros(cast({ts} as timestamp)) / 1e6 as t").groupBy(group).applyInPandas(run, f"{group} long, {event_id} long, hit boolean")
+    rows = events.selectExpr(group, event_id, f"{item} as item", f"unix_micros(cast({ts} as timestamp)) / 1e6 as t").where(f"{group} is not null")
+    return folded(rows, group, ["t", event_id], f"{group} long, {event_id} long, hit boolean", OrderedDict, step)
 
 
 def rate_limit_stream(events: DataFrame, key: str, event_id: str, limit: int, window: float = 60.0) -> DataFrame:

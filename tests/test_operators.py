@@ -32,6 +32,9 @@ def test_runs_and_pairs(spark):
     assert one(spark, T.contains_run(arr("a b c d"), arr("b c"))) and not one(spark, T.contains_run(arr("a b"), arr("a b c")))
     assert one(spark, T.letter_pairs(F.lit("abab"))) == ["ab", "ba"] and one(spark, T.letter_pairs(F.lit("a"))) == ["a"]
     assert one(spark, T.split_particles(arr("لاتكتب لاعب"), F.array(F.lit("تكتب"), F.lit("لاعب"), F.lit("عب")))) == ["لا", "تكتب", "لاعب"]
+    rows = spark.createDataFrame([(1, ["لاتكتب", "لاعب"]), (2, ["قلم"]), (3, []), (4, None)], "id int, words array<string>")
+    vocabulary = spark.createDataFrame([("تكتب",), ("لاعب",), ("عب",)], "term string")
+    assert {r.id: r.words for r in T.split_joined(rows, "words", vocabulary).collect()} == {1: ["لا", "تكتب", "لاعب"], 2: ["قلم"], 3: [], 4: None}
     assert one(spark, T.quote_url(F.lit("a b/ج"))) == "a%20b%2F%D8%AC"
     assert one(spark, T.word_ngrams(F.array(F.lit("a")), 2, 4)) == [" a", "a ", " a "]
 
@@ -175,6 +178,25 @@ def test_folds():
     assert folds.admit([0, 1, 2, 59, 60, 61], 2)[0] == [True, True, False, False, True, True]
     assert folds.cache_hits(list("abacab"), [0, 1, 2, 3, 4, 5], 2, 100) == [False, False, True, False, True, False]
     assert folds.cache_hits(["a", "a", "a"], [0, 5, 11], 2, 10) == [False, True, False]
+    assert folds.cache_hits(["a", "a", "a"], [0, 1, 2], 2, 10, ok=[False, True, True]) == [False, False, True]
+
+
+def test_folds_against_whole_histories(spark):
+    """A hot key in many batches, ties in time and a null key, against the fold of each key's sorted rows."""
+    rows = [(i % 3 if i % 4 else 0, i, f"2024-01-01 00:{i // 7 % 60:02d}:{i % 60:02d}", "abc"[i * i % 3]) for i in range(400)] + [(None, 999, "2024-01-01 00:00:00", "a")]
+    df = spark.createDataFrame(rows, "k long, id long, ts string, item string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        admitted = {r.id: r.admitted for r in folds.rate_limit(df, "k", "id", "ts", 2).collect()}
+        hits = {r.id: r.hit for r in folds.cache(df, "k", "id", "ts", "item", 2, 90.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    second = lambda ts: int(ts[14:16]) * 60 + int(ts[17:])
+    for k in range(3):
+        own = sorted((second(ts), i, item) for key, i, ts, item in rows if key == k)
+        assert [admitted[i] for _, i, _ in own] == folds.admit([t for t, *_ in own], 2)[0]
+        assert [hits[i] for _, i, _ in own] == folds.cache_hits([x for *_, x in own], [t for t, *_ in own], 2, 90.0)
+    assert 999 not in admitted
 
 
 def test_rate_limit_stream_equals_batch(spark, tmp_path):

@@ -1,5 +1,8 @@
 """Every named query against its SQL on the smallest tables; the others must run and repeat."""
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -40,7 +43,13 @@ def test_runs_and_repeats(spark, data, name):
     assert a == b
 
 
-def test_entry_survives_without_llm():
-    import __spark_entry__ as e
-    assert set(own.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
-    assert os.path.exists(e.__file__)
+def test_entry_survives_without_llm(tmp_path):
+    """A copy without the subpackage and its pipeline imports and has all other queries; another missing module is an error."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "tests"))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ask = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.own.QUERIES), set(e.oracle_sql()) <= set(e.queries()), any(q.startswith('op') for q in e.queries()))"
+    run = lambda: subprocess.run([sys.executable, "-c", ask], cwd=tmp_path / "r", env=env, capture_output=True, text=True)
+    assert run().stdout.split() == ["True", "True", "False"]
+    os.remove(tmp_path / "r" / "provena" / "sources" / "tables.py")
+    assert "ModuleNotFoundError" in run().stderr
