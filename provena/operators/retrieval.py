@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import BooleanType
 
 from provena.functions.text import LATIN, Profile, inner, key_tokens
-from provena.sources.tables import stored
+from provena.sources.tables import spread, stored
 
 # Constants of BM25 and of reciprocal-rank fusion, depth of the lists that are fused.
 K1, B, EPSILON, RRF_K, DEPTH = 1.5, 0.75, 0.25, 60, 3
@@ -51,7 +51,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str = "text", profile: P
 
     Null texts have no words, repeated ids are records each. Terms in over half of the records get EPSILON times the mean idf.
     """
-    words = docs.select(F.col(id_col), F.coalesce(key_tokens(F.col(text_col), profile), F.array().cast("array<string>")).alias("keys"))
+    words = spread(docs.select(id_col, text_col)).select(F.col(id_col), F.coalesce(key_tokens(F.col(text_col), profile), F.array().cast("array<string>")).alias("keys"))
     records = stored(with_term_counts(words.withColumn("n_words", F.size("keys")), "keys", "terms").select(id_col, "n_words", "keys", "terms"), "index-records")
     stats = records.agg(F.count("*").alias("n_docs"), F.avg("n_words").alias("avg_words"))
     df = records.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))

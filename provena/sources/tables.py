@@ -19,6 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it has fewer partitions than that, as a small table in one file has; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read back: lineage is cut, lost executors do no harm."""
     spark = df.sparkSession
