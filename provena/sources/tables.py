@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables of up to this size are dealt out before work on texts.
+SMALL_BYTES = 64 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where it is unset a local master gets a folder of its own; a cluster raises."""
     place = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,9 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores if it has fewer partitions than that, as a small table in one file has; else as it is, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df dealt over all cores if the optimizer takes it for small, as a table in one file may be read by one task; else as it is, without a shuffle."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # nothing is run for it
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
