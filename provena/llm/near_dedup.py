@@ -22,6 +22,8 @@ BAG = 128
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
 #: Blocks of up to this many members are compared many at once.
 SMALL = 32
+#: Labels are broadcast up to this many rows; a shuffle of such narrow rows costs little, and the driver holds what is broadcast.
+SENT = 20_000
 #: Counters of a bag where words are at hand: nearly all that differs shows.
 WIDE_BAG = 1024
 
@@ -255,9 +257,9 @@ _OPEN = ["key", "lo", "hi", "upper", "node", "n_words"]
 
 
 def _open_members(least: float):
-    """A function for mapInArrow over blocks with bags: the rows that have others in their block which sizes and bags don't tell apart.
+    """A function for mapInArrow over blocks with bags: the rows that have others of another label in their block which sizes and bags don't tell apart.
 
-    lead is one of these others: the smallest of those that the bags show half the edits that are allowed, or less, else the nearest. large
+    Rows without labels are each of its own. lead is one of these others: the smallest of those that the bags show half the edits that are allowed, or less, else the nearest. large
     says whether the block has over SMALL rows.
     """
     def run(batches):
@@ -265,10 +267,11 @@ def _open_members(least: float):
             n = table.num_rows
             lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
             rank = np.array(table.column("node").to_pylist(), object).argsort().argsort()
+            label = np.unique(_names(table, "label"), return_inverse=True)[1]
             words, bags = table.column("n_words").to_numpy().astype(np.int64), np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(n, -1)
             first = ends - 1
             best = np.full(n, np.iinfo(np.int64).max)
-            for i, j, apart in open_pairs(words, bags, ends, _flags(table, "upper"), lo[first] == hi[first], np.arange(n), least):
+            for i, j, apart in open_pairs(words, bags, ends, _flags(table, "upper"), lo[first] == hi[first], label, least):
                 long = np.maximum(words[i], words[j])
                 room = words[i] + words[j] - 2 * (long - ((1 - least) * long + 1e-9).astype(np.int64))
                 far = np.where(2 * apart <= room, 0, (1 + apart.astype(np.int64)) * n)
@@ -280,25 +283,25 @@ def _open_members(least: float):
             lead = table.column("node").take(pa.array(where[best[found] % n]))
             size = np.diff(np.append(0, ends))
             large = pa.array(np.repeat(size > SMALL, size)[found])
-            yield from table.select(_OPEN).take(pa.array(found)).append_column("lead", lead).append_column("large", large).to_batches(max_chunksize=4096)
+            yield from table.select([*_OPEN, "label"]).take(pa.array(found)).append_column("lead", lead).append_column("large", large).to_batches(max_chunksize=4096)
 
     return run
 
 
-_OPEN_DDL = "key long, lo int, hi int, upper boolean, node binary, n_words int, lead binary, large boolean"
+_OPEN_DDL = "key long, lo int, hi int, upper boolean, node binary, n_words int, label binary, lead binary, large boolean"
 
 
 def neighbours(members: DataFrame, least: float) -> DataFrame:
-    """key, lo, hi, upper, node, n_words of the members of a bucket that have others in a block which sizes and bags don't tell apart.
+    """key, lo, hi, upper, node, n_words, lead (see _open_members) of the members of a bucket that have others in a block which sizes and bags don't tell apart.
 
     members: key, n (size of the bucket), node (16 bytes), n_words, bag. A bucket is dealt out as pairs of blocks. One row for a member and block, however
     many pairs there are.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.withColumn("_own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), (F.col("_own") > F.col("_other")).alias("upper"), "node", "n_words", "bag")
+    dealt = dealt.select("key", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), (F.col("_own") > F.col("_other")).alias("upper"), "node", F.col("node").alias("label"), "n_words", "bag")
     dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(_open_members(least), _OPEN_DDL).select(_OPEN)
+    return dealt.mapInArrow(_open_members(least), _OPEN_DDL).select(*_OPEN, "lead")
 
 
 def distinct_blocks(near: DataFrame) -> DataFrame:
@@ -312,7 +315,7 @@ def distinct_blocks(near: DataFrame) -> DataFrame:
 
 
 def refined(near: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """The rows of near (key, lo, hi, upper, node, n_words) that wide bags don't tell apart from all others of their block, with large and lead (see _open_members).
+    """The rows of near (key, lo, hi, upper, node, n_words, label) that wide bags don't tell apart from all others of another label in their block, with large and lead (see _open_members).
 
     Names are hashes, so the members of a group of near copies mostly agree on a lead. words: node, wide.
     """
@@ -320,6 +323,22 @@ def refined(near: DataFrame, words: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(_open_members(least), _OPEN_DDL)
 
 
+def led(near: DataFrame) -> DataFrame:
+    """a, b: one pair for each node of near, with the smallest lead over its blocks, which a group of near copies mostly has in common."""
+    return near.groupBy("node").agg(F.min("lead").alias("lead")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+
+
+def unconnected(near: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of near, with the label of their node, in blocks whose members carry more labels than one. A node that label does not name is its own."""
+    at = ["key", "lo", "hi"]
+    named = near.join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("_node")
+    named = durable(named, "near-named")
+    apart = named.groupBy(*at).agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least != _most")
+    out = durable(named.join(apart.select(*at), at, "left_semi"), "near-unconnected")
+    forget(named)
+    return out
+
+
 def verify(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """a, b of the pairs (a, b) of nodes that are similar. words: node, seq."""
     both = pairs.join(words.select(F.col("node").alias("a"), F.col("seq").alias("_x")), "a").join(words.select(F.col("node").alias("b"), F.col("seq").alias("_y")), "b")
@@ -396,16 +415,16 @@ def components(edges: DataFrame) -> DataFrame:
         at = durable(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_b")).select("node", F.least("node", "_b").alias("label")), "near-pointers")
         while True:
             further = at.select(F.col("node").alias("label"), F.col("label").alias("further"))
-            jumped = durable(at.join(if_small(further)[0], "label", "left").select("node", "label", F.coalesce("further", "label").alias("further")), "near-pointers")
+            jumped = durable(at.join(if_small(further, SENT)[0], "label", "left").select("node", "label", F.coalesce("further", "label").alias("further")), "near-pointers")
             at = jumped.select("node", F.col("further").alias("label"))
             if jumped.where("further != label").isEmpty():
                 break
         if total is None:
             total = at
         else:
-            total = total.join(if_small(at.select(F.col("node").alias("label"), F.col("label").alias("further")))[0], "label", "left")
+            total = total.join(if_small(at.select(F.col("node").alias("label"), F.col("label").alias("further")), SENT)[0], "label", "left")
             total = durable(total.select("node", F.coalesce("further", "label").alias("label")), "near-labels")
-        small, _ = if_small(at)
+        small, _ = if_small(at, SENT)
         left = left.join(small.select(F.col("node").alias("a"), F.col("label").alias("a2")), "a").join(small.select(F.col("node").alias("b"), F.col("label").alias("b2")), "b")
         left = durable(left.where("a2 != b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "near-edges")
         if left.isEmpty():
@@ -422,7 +441,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     text, never kept beside other ids. An empty table gives no rows. Other columns are ignored.
 
     Copies are reduced to one class before any pairing. A member of a bucket is first aligned with one other that sizes and bags of words
-    don't tell from it, the same for all of a group, which joins most groups. Then the blocks whose members are not yet all connected are
+    don't tell from it, the same for all of a group, which joins most groups. What is left is told apart by wider bags and aligned with one
+    of another group in the same way. Then the blocks whose members are not yet all connected are
     gone through pair by pair within a task, so no link between members is passed over and no more rows are made than there are members.
     Links, labels and words stay distributed.
     """
@@ -453,18 +473,23 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     words = durable(words_of(rows, wanted), "near-words")
     if words.count() > wanted.count():  # rows that repeat an id with its text
         words = durable(words.groupBy("node").agg(*[F.first(x).alias(x) for x in ("seq", "bands", "wide")]), "near-words")
-    told, near = near, durable(refined(near, words, least), "near-refined")
-    forget(told, wanted)
-    # one pair for each member: with the smallest lead over its buckets, which a group of near copies mostly has in common
-    pairs = near.groupBy("node").agg(F.min("lead").alias("lead")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    pairs = durable(pairs, "near-pairs")
+    # blocks that the first leads connect are done: only the rest is joined with the wide bags, and with the words after that
+    pairs = durable(led(near), "near-pairs")
     links = durable(verify(pairs, words, least), "near-links")
     label = components(links)
-    named = near.drop("lead").join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("_node")
-    named = durable(named, "near-named")
+    left = unconnected(near.drop("lead"), label)
+    named = durable(refined(left, words, least), "near-refined")
+    forget(near, wanted, left)
+    others = durable(led(named), "near-pairs")
+    again = durable(verify(others, words, least), "near-links")
+    every = links.unionByName(again)
+    if not again.isEmpty():
+        label = components(every)
+        renamed = label.select(F.col("node").alias("_old"), F.col("label").alias("_new"))  # a label is a node of its own group
+        named = durable(named.join(renamed, F.col("label") == F.col("_old"), "left").withColumn("label", F.coalesce("_new", "label")).drop("_old", "_new"), "near-relabelled")
     more = durable(join_blocks(named, words, least).distinct(), "near-links")
     if not more.isEmpty():
-        label = components(links.unionByName(more))
+        label = components(every.unionByName(more))
     known = classes.select("node", "class_id").join(label, "node", "left").select("node", "class_id", F.coalesce("label", "node").alias("label"))
     first = F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "node")).alias("first")
     groups = known.join(label.select("label").distinct(), "label", "left_semi").groupBy("label").agg(first).select("label", "first.*")
@@ -472,7 +497,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     known = known.join(groups, "label", "left")
     answer = durable(known.select("node", "class_id", F.when(F.col("keeper").isNull(), F.col("class_id")).otherwise(F.col("cluster_id")).alias("cluster_id"), (F.coalesce("keeper", "node") == F.col("node")).alias("keeps")), "near-answer")
     out = base.select("doc_id", "text_md5", "node").join(answer, "node")
-    forget(classes, near, pairs, words, links, named, more)
+    forget(classes, pairs, others, words, links, again, named, more)
     return out.select("doc_id", "class_id", "cluster_id", (F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"), *(["text_md5"] if with_md5 else []))
 
 

@@ -347,3 +347,26 @@ def test_revealing_terms_of_any_spelling(spark):
     assert set(names) <= named and "plain" not in named and "hapax" not in named
     got = {r.doc_id: r for r in pii.find_pii(docs, terms).collect()}
     assert got[2000].spans == "term:4:12,term:19:26"
+
+
+def test_blocks_that_the_first_leads_connect_are_not_refined(spark, monkeypatch):
+    """A group of near copies goes on only where its members are not yet connected, and the clusters are those of all pairs."""
+    r = random.Random(5)
+    rows, went = [], []
+    for group in range(3):
+        words = [f"g{group}w{r.randrange(400)}" for _ in range(120)]
+        for n in range(40):
+            own = list(words)
+            for _ in range(4):
+                own[r.randrange(120)] = f"x{n}"
+            rows.append((100 * group + n, " ".join(own)))
+    refined = near_dedup.refined
+
+    def seen(near, words, least):
+        went.append(near.count())
+        return refined(near, words, least)
+
+    monkeypatch.setattr(near_dedup, "refined", seen)
+    got = {x.doc_id: x.cluster_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near_dedup.brute_force(dict(rows))
+    assert went == [0]
