@@ -4,7 +4,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import BooleanType
@@ -16,6 +19,8 @@ from provena.sources.tables import spread, stored
 K1, B, EPSILON, RRF_K, DEPTH = 1.5, 0.75, 0.25, 60, 3
 #: Queries are broadcast only if counted and no more than this.
 BROADCAST_ROWS = 200_000
+#: Numbers in the vectors of a tile of the dense search: of its queries and of its items.
+TILE_QUERIES, TILE_ITEMS = 1 << 20, 1 << 22
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -96,6 +101,70 @@ def dense_scores(items: DataFrame, id_col: str, queries: DataFrame, query_id: st
     return met.select(query_id, id_col, inner(F.col(vector), F.col("_q")).alias("score"))
 
 
+def dense_top(items: DataFrame, id_col: str, queries: DataFrame, query_id: str, k: int, vector: str = "embedding", digits: int = 6) -> DataFrame:
+    """query_id, id, score, rank: top() of dense_scores(), without a row for each pair of a query and an item.
+
+    Blocks of queries meet blocks of items, and a task multiplies two blocks as matrices. What can be among the k best of a block of items, but for the
+    error of such a product and for rounding, is scored again in the order of dense_scores(), so scores are the same to the last bit. Of equal scores of a
+    query the k smallest ids are enough. Vectors that are null, hold a null or no finite number, or are not as long as most, are scored as pairs with all others.
+    """
+    tasks = 2 * items.sparkSession.sparkContext.defaultParallelism
+    i = items.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v"))
+    q = queries.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v"))
+    most = i.where(F.size("_v") > 0).groupBy(F.size("_v").alias("_size")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_size").limit(1).collect()
+    width = most[0]["_size"] if most else 1
+    usual = (F.size("_v") == width) & F.forall("_v", lambda x: F.coalesce(F.abs(x.cast("double")) < 1e15, F.lit(False)))
+    i, q = (stored(x.withColumn("_usual", F.coalesce(usual, F.lit(False))), f"dense-{n}") for x, n in ((i, "items"), (q, "queries")))
+    n_items, n_queries = (x.where("_usual").count() for x in (i, q))
+    ni, nq = max(1, -(-n_items * width // TILE_ITEMS)), max(1, -(-n_queries * width // TILE_QUERIES))
+    nq = max(nq, min(-(-n_queries // 64), -(-tasks // ni)))  # small tables too are dealt over all cores
+    block = lambda n: F.pmod(F.xxhash64("_id", "_v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tiles = i.where("_usual").select(block(ni).alias("_bi"), every(nq).alias("_bq"), F.lit(False).alias("_asks"), "_id", "_v")
+    tiles = tiles.unionByName(q.where("_usual").select(every(ni).alias("_bi"), block(nq).alias("_bq"), F.lit(True).alias("_asks"), "_id", "_v"))
+    slack = 10.0**-digits  # scores that round to the same are nearer than this
+
+    def best(table: pa.Table) -> pa.Table:
+        asks = table.column("_asks").to_numpy()
+        vectors = table.column("_v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, width)
+        place = np.empty(len(asks), np.int64)
+        place[pc.sort_indices(table, sort_keys=[("_id", "ascending")], null_placement="at_start").to_numpy()] = np.arange(len(asks))
+        at_q, at_i = np.flatnonzero(asks), np.flatnonzero(~asks)
+        x, y = vectors[at_q], vectors[at_i]
+        longest = np.sqrt((y * y).sum(axis=1).max(initial=0.0))
+        columns = np.ascontiguousarray(y.T)
+        found: list = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for at in range(0, len(x) if len(y) else 0, 32):
+            part = x[at : at + 32]
+            near = part @ columns
+            if near.shape[1] > k:
+                error = 4 * width * np.finfo(np.float64).eps * np.sqrt((part * part).sum(axis=1)) * longest
+                floor = np.partition(near, -k, axis=1)[:, -k] - 2 * error - slack
+                a, b = np.nonzero(near >= floor[:, None])
+            else:
+                a, b = np.nonzero(np.ones(near.shape, bool))
+            score = np.zeros(len(a))
+            for d in range(width):
+                score += columns[d][b] * part[a, d]
+            order = np.lexsort((place[at_i[b]], -score, a))
+            a, b, score = a[order], b[order], score[order]
+            fresh = np.append(True, (a[1:] != a[:-1]) | (score[1:] != score[:-1]))[: len(a)]
+            n = np.arange(len(a))
+            few = n - np.maximum.accumulate(np.where(fresh, n, 0)) < k
+            found.append((at_q[at + a[few]], at_i[b[few]], score[few]))
+        a, b, score = (np.concatenate(z) for z in zip(*found))
+        ids = table.column("_id")
+        return pa.table({query_id: ids.take(pa.array(a)), id_col: ids.take(pa.array(b)), "score": score})
+
+    kind = items.schema[id_col].dataType.simpleString()
+    scores = tiles.repartition(2 * ni * nq, "_bi", "_bq").groupBy("_bi", "_bq").applyInArrow(best, f"{query_id} {kind}, {id_col} {kind}, score double")
+    for some, asked in ((i.where("not _usual"), q), (i.where("_usual"), q.where("not _usual"))):
+        if not some.where("not _usual").isEmpty() or not asked.where("not _usual").isEmpty():
+            name = lambda x, n: x.select(F.col("_id").alias(n), F.col("_v").alias(vector))
+            scores = scores.unionByName(dense_scores(name(some, id_col), id_col, name(asked, id_col), query_id, vector))
+    return top(scores, query_id, id_col, k, digits=digits)
+
+
 def fuse(first: DataFrame, second: DataFrame, query_id: str, id_col: str, k: int) -> DataFrame:
     """query_id, id, fused, first_rank, second_rank, rank: reciprocal-rank fusion of two rankings with rank from 1.
 

@@ -146,7 +146,7 @@ def _vectors(spark, d):
 @query(f"WITH {_DENSE} SELECT query_id, vec_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM d) WHERE rank <= 8")
 def dense_topk(spark, d):
     e, q = _vectors(spark, d)
-    return retrieval.top(retrieval.dense_scores(e, "vec_id", q, "query_id"), "query_id", "vec_id", 8)
+    return retrieval.dense_top(e, "vec_id", q, "query_id", 8)
 
 
 @query(f"WITH {_DENSE} SELECT query_id, vec_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM d WHERE same) WHERE rank <= 8")

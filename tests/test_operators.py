@@ -1,4 +1,6 @@
 """Golden rows of the text, alignment, extraction, rule, retrieval and fold operators."""
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +215,20 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
         own = sorted((t, e) for k, e, t in rows if k == u)
         want |= dict(zip([e for _, e in own], folds.admit([t for t, _ in own], 3)[0]))
     assert got == want
+
+
+def test_dense_top_makes_no_row_for_each_pair_and_is_the_top_of_all_scores(spark):
+    r = random.Random(3)
+    v = lambda: [r.gauss(0, 1) / 8 for _ in range(64)]
+    common = v()
+    rows = [(n, v()) for n in range(300)] + [(n, common) for n in range(300, 360)] + [(360, None), (361, [0.5] * 3), (362, [float("nan")] * 64), (363, [None] + [0.1] * 63), (None, v()), (7, v()), (364, []), (365, [0.0] * 64)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = e.where("vec_id % 20 = 0 or vec_id >= 360")
+    want = retrieval.top(retrieval.dense_scores(e, "vec_id", q, "query_id"), "query_id", "vec_id", 8)
+    got = retrieval.dense_top(e, "vec_id", q, "query_id", 8)
+    key = lambda t: sorted(map(repr, t.select("query_id", "vec_id", "rank", "score").collect()))
+    assert key(got) == key(want)
+    plain = retrieval.dense_top(e.where("vec_id < 360"), "vec_id", q.where("vec_id < 360"), "query_id", 8)
+    assert "Join" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert key(plain) == key(retrieval.top(retrieval.dense_scores(e.where("vec_id < 360"), "vec_id", q.where("vec_id < 360"), "query_id"), "query_id", "vec_id", 8))
+    assert retrieval.dense_top(e.limit(0), "vec_id", q, "query_id", 8).count() == retrieval.dense_top(e, "vec_id", q.limit(0), "query_id", 8).count() == 0
