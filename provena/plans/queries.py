@@ -163,8 +163,8 @@ SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY fuse
 def rrf_topk(spark, d):
     e, q = _vectors(spark, d)
     half = lambda x: x.withColumn("embedding", F.slice("embedding", 1, 32))
-    a = retrieval.top(retrieval.dense_scores(e, "vec_id", q, "query_id"), "query_id", "vec_id", 24)
-    b = retrieval.top(retrieval.dense_scores(half(e), "vec_id", half(q), "query_id"), "query_id", "vec_id", 24)
+    a = retrieval.dense_top(e, "vec_id", q, "query_id", 24)
+    b = retrieval.dense_top(half(e), "vec_id", half(q), "query_id", 24)
     return retrieval.fuse(a, b, "query_id", "vec_id", 8)
 
 

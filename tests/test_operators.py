@@ -232,3 +232,11 @@ def test_dense_top_makes_no_row_for_each_pair_and_is_the_top_of_all_scores(spark
     assert "Join" not in plain._jdf.queryExecution().executedPlan().toString()
     assert key(plain) == key(retrieval.top(retrieval.dense_scores(e.where("vec_id < 360"), "vec_id", q.where("vec_id < 360"), "query_id"), "query_id", "vec_id", 8))
     assert retrieval.dense_top(e.limit(0), "vec_id", q, "query_id", 8).count() == retrieval.dense_top(e, "vec_id", q.limit(0), "query_id", 8).count() == 0
+
+
+@pytest.mark.parametrize("name", ["dense_topk", "rrf_topk"])
+def test_dense_queries_meet_no_nested_loop(spark, name):
+    from provena.plans import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
