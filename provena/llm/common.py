@@ -55,10 +55,15 @@ def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     return df
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """df, to be joined by shuffle. From compressed files and arrays Spark may take a side of millions of rows to be a few MB, and send it through the driver."""
+    return df.hint("merge")
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """(df with a broadcast hint, True) if it has at most `rows` rows, else (df, False). df should be cheap to count."""
+    """(df with a broadcast hint, True) if it has at most `rows` rows, else (df to be joined by shuffle, False). df should be cheap to count."""
     small = df.limit(rows + 1).count() <= rows
-    return (F.broadcast(df), True) if small else (df, False)
+    return (F.broadcast(df), True) if small else (by_shuffle(df), False)
 
 
 def new_name(start: str, columns: list[str]) -> str:

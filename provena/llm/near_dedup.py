@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from provena.llm.common import durable, forget, if_small, small_batches
+from provena.llm.common import by_shuffle, durable, forget, if_small, small_batches
 
 #: Words in a k-mer, k-mers in a key (kept in the order of the text) and keys of a text.
 MER, PICKS, BANDS = 2, 2, 32
@@ -311,7 +311,7 @@ def distinct_blocks(near: DataFrame) -> DataFrame:
     sums = near.groupBy(*at).agg(F.bit_xor(F.xxhash64("node", "upper")).alias("_one"), F.bit_xor(F.xxhash64("upper", "node")).alias("_two"), F.count("*").alias("_n"), F.sum("n_words").alias("_words"))
     small = durable(sums.where(F.col("_n") <= SMALL), "near-small")
     firsts = small.groupBy("_one", "_two", "_n", "_words", alone.alias("_alone")).agg(F.min(F.struct(*at)).alias("at")).select("at.*")
-    return near.join(small.select(*at).join(firsts, at, "left_anti"), at, "left_anti")
+    return near.join(by_shuffle(small.select(*at).join(by_shuffle(firsts), at, "left_anti")), at, "left_anti")
 
 
 def refined(near: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -319,7 +319,7 @@ def refined(near: DataFrame, words: DataFrame, least: float) -> DataFrame:
 
     Names are hashes, so the members of a group of near copies mostly agree on a lead. words: node, wide.
     """
-    rows = near.join(words.select("node", F.col("wide").alias("bag")), "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    rows = near.join(by_shuffle(words.select("node", F.col("wide").alias("bag"))), "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return rows.mapInArrow(_open_members(least), _OPEN_DDL)
 
 
@@ -331,17 +331,17 @@ def led(near: DataFrame) -> DataFrame:
 def unconnected(near: DataFrame, label: DataFrame) -> DataFrame:
     """The rows of near, with the label of their node, in blocks whose members carry more labels than one. A node that label does not name is its own."""
     at = ["key", "lo", "hi"]
-    named = near.join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("_node")
+    named = near.join(by_shuffle(label.withColumnRenamed("node", "_node")), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("_node")
     named = durable(named, "near-named")
     apart = named.groupBy(*at).agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least != _most")
-    out = durable(named.join(apart.select(*at), at, "left_semi"), "near-unconnected")
+    out = durable(named.join(by_shuffle(apart.select(*at)), at, "left_semi"), "near-unconnected")
     forget(named)
     return out
 
 
 def verify(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """a, b of the pairs (a, b) of nodes that are similar. words: node, seq."""
-    both = pairs.join(words.select(F.col("node").alias("a"), F.col("seq").alias("_x")), "a").join(words.select(F.col("node").alias("b"), F.col("seq").alias("_y")), "b")
+    both = pairs.join(by_shuffle(words.select(F.col("node").alias("a"), F.col("seq").alias("_x"))), "a").join(by_shuffle(words.select(F.col("node").alias("b"), F.col("seq").alias("_y"))), "b")
 
     def run(batches):
         for batch in batches:
@@ -363,13 +363,13 @@ def join_blocks(members: DataFrame, words: DataFrame, least: float) -> DataFrame
     at = ["key", "lo", "hi"]
     alone = F.col("lo") == F.col("hi")
     sums = members.groupBy(*at).agg(F.min("label").alias("_least"), F.max("label").alias("_most"), F.sum("n_words").alias("_words")).where("_least != _most")
-    rows = members.join(sums.select(*at, F.greatest(F.lit(1), F.ceil(F.col("_words") * 4 / BLOCK_BYTES)).cast("int").alias("_cuts")), at)
+    rows = members.join(by_shuffle(sums.select(*at, F.greatest(F.lit(1), F.ceil(F.col("_words") * 4 / BLOCK_BYTES)).cast("int").alias("_cuts"))), at)
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("_cuts")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
     # a block cut in parts: pairs of parts, with sides by part if the block was one, else each upper part with each other
     rows = rows.select(F.xxhash64(*at).alias("block"), F.when(alone, F.least("_own", "_other")).when(F.col("upper"), F.col("_other")).otherwise(F.col("_own")).alias("lo"),
                        F.when(alone, F.greatest("_own", "_other")).when(F.col("upper"), F.col("_own")).otherwise(F.col("_other")).alias("hi"),
                        F.when(alone, F.col("_own") > F.col("_other")).otherwise(F.col("upper")).alias("upper"), alone.alias("one"), "large", "key", "node", "label")
-    rows = rows.join(words.select("node", "seq", "bands"), "node").repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi")
+    rows = rows.join(by_shuffle(words.select("node", "seq", "bands")), "node").repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi")
 
     def run(batches):
         for table, ends in _blocks(batches, ["block", "lo", "hi"]):
@@ -444,7 +444,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     don't tell from it, the same for all of a group, which joins most groups. What is left is told apart by wider bags and aligned with one
     of another group in the same way. Then the blocks whose members are not yet all connected are
     gone through pair by pair within a task, so no link between members is passed over and no more rows are made than there are members.
-    Links, labels and words stay distributed.
+    Links, labels and words stay distributed: a side is broadcast only after a count, however small Spark takes it to be.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_md5"), text.alias("text"))
@@ -465,11 +465,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     # by short names: should two classes share one, a bucket gets a member too many
     keyed = classes.select("name", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keyed.join(shared, "key").join(classes.select("name", "node", "n_words", "bag"), "name").drop("name")
+    members = keyed.join(by_shuffle(shared), "key").join(by_shuffle(classes.select("name", "node", "n_words", "bag")), "name").drop("name")
     opened = durable(neighbours(members, least), "near-open")
     near = durable(distinct_blocks(opened), "near-blocks")
     forget(opened)
-    wanted = durable(near.select("node").distinct().join(classes, "node").select("node", "class_id", "text_md5"), "near-wanted")
+    wanted = durable(near.select("node").distinct().join(by_shuffle(classes), "node").select("node", "class_id", "text_md5"), "near-wanted")
     words = durable(words_of(rows, wanted), "near-words")
     if words.count() > wanted.count():  # rows that repeat an id with its text
         words = durable(words.groupBy("node").agg(*[F.first(x).alias(x) for x in ("seq", "bands", "wide")]), "near-words")
@@ -486,17 +486,17 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     if not again.isEmpty():
         label = components(every)
         renamed = label.select(F.col("node").alias("_old"), F.col("label").alias("_new"))  # a label is a node of its own group
-        named = durable(named.join(renamed, F.col("label") == F.col("_old"), "left").withColumn("label", F.coalesce("_new", "label")).drop("_old", "_new"), "near-relabelled")
+        named = durable(named.join(by_shuffle(renamed), F.col("label") == F.col("_old"), "left").withColumn("label", F.coalesce("_new", "label")).drop("_old", "_new"), "near-relabelled")
     more = durable(join_blocks(named, words, least).distinct(), "near-links")
     if not more.isEmpty():
         label = components(every.unionByName(more))
-    known = classes.select("node", "class_id").join(label, "node", "left").select("node", "class_id", F.coalesce("label", "node").alias("label"))
+    known = classes.select("node", "class_id").join(by_shuffle(label), "node", "left").select("node", "class_id", F.coalesce("label", "node").alias("label"))
     first = F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "node")).alias("first")
-    groups = known.join(label.select("label").distinct(), "label", "left_semi").groupBy("label").agg(first).select("label", "first.*")
+    groups = known.join(by_shuffle(label.select("label").distinct()), "label", "left_semi").groupBy("label").agg(first).select("label", "first.*")
     groups = groups.select("label", F.col("class_id").alias("cluster_id"), F.col("node").alias("keeper"))
-    known = known.join(groups, "label", "left")
+    known = known.join(by_shuffle(groups), "label", "left")
     answer = durable(known.select("node", "class_id", F.when(F.col("keeper").isNull(), F.col("class_id")).otherwise(F.col("cluster_id")).alias("cluster_id"), (F.coalesce("keeper", "node") == F.col("node")).alias("keeps")), "near-answer")
-    out = base.select("doc_id", "text_md5", "node").join(answer, "node")
+    out = base.select("doc_id", "text_md5", "node").join(by_shuffle(answer), "node")
     forget(classes, pairs, others, words, links, again, named, more)
     return out.select("doc_id", "class_id", "cluster_id", (F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"), *(["text_md5"] if with_md5 else []))
 

@@ -370,3 +370,29 @@ def test_blocks_that_the_first_leads_connect_are_not_refined(spark, monkeypatch)
     got = {x.doc_id: x.cluster_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == near_dedup.brute_force(dict(rows))
     assert went == [0]
+
+
+def test_near_copies_are_broadcast_only_after_a_count(spark, monkeypatch):
+    """Where no side is counted as small none is broadcast, whatever Spark takes the sides for, and the clusters are those of all pairs."""
+    r = random.Random(9)
+    rows = []
+    for group in range(4):
+        words = [f"g{group}w{r.randrange(300)}" for _ in range(90)]
+        for n in range(6):
+            own = list(words)
+            for _ in range(4 * n):
+                own[r.randrange(90)] = f"x{group}y{r.randrange(50)}"
+            rows.append((10 * group + n, " ".join(own)))
+    plans, durable, if_small = [], near_dedup.durable, near_dedup.if_small
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return durable(df, name)
+
+    monkeypatch.setattr(near_dedup, "durable", noted)
+    monkeypatch.setattr(near_dedup, "if_small", lambda df, *_: if_small(df, 0))
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(("answer", out._jdf.queryExecution().sparkPlan().toString()))
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
+    assert sum("Join" in plan for _, plan in plans) > 5
+    assert {x.doc_id: x.cluster_id for x in out.collect()} == near_dedup.brute_force(dict(rows))
