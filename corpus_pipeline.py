@@ -33,6 +33,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if once.isEmpty():
         return out
     own = new_name("_sha", docs.columns)
+    once, _ = if_small(once)
     again = docs.join(once, match(once), "left_semi").withColumn(own, sha).dropDuplicates(["doc_id", own]).drop(own)
     return out.unionByName(again)
 
@@ -68,7 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if many.isEmpty():
         return out
     equal = rows.join(if_small(many)[0], F.col(name) == F.col("_many"), "left_semi").dropDuplicates([name])
-    equal = equal.join(taken, F.col(name) == F.col("_told_row")).select(*[F.col(f"`{c}`") for c in docs.columns], copies.alias(nth)).drop(nth)
+    equal = equal.join(if_small(taken)[0], F.col(name) == F.col("_told_row")).select(*[F.col(f"`{c}`") for c in docs.columns], copies.alias(nth)).drop(nth)
     return out.unionByName(equal)
 
 

@@ -396,3 +396,19 @@ def test_near_copies_are_broadcast_only_after_a_count(spark, monkeypatch):
     assert [name for name, plan in plans if "Broadcast" in plan] == []
     assert sum("Join" in plan for _, plan in plans) > 5
     assert {x.doc_id: x.cluster_id for x in out.collect()} == near_dedup.brute_force(dict(rows))
+
+
+@pytest.mark.parametrize("stage", ["exact_dedup", "near_dedup"])
+def test_stages_broadcast_only_what_is_counted(spark, monkeypatch, tmp_path, stage):
+    """Where no table of what goes is counted as small, a stage joins the documents with it by shuffle, whatever Spark takes it for."""
+    rows = [(i, f"w{i % 8} " * 4 + " ".join(f"v{i % 8}t{k}" for k in range(30)) + " " * (i % 2), "en", "s", None) for i in range(24)]
+    rows += rows[:3]  # rows that repeat
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    run = dict(corpus_pipeline.STAGES)[stage]
+    want = sorted(map(repr, run(spark, docs, str(tmp_path)).collect()))
+    if_small = corpus_pipeline.if_small
+    monkeypatch.setattr(corpus_pipeline, "if_small", lambda df, *_: if_small(df, 0))
+    out = run(spark, docs, str(tmp_path))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
+    assert sorted(map(repr, out.collect())) == want
